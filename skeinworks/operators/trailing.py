@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinworks.session import quoted
@@ -31,10 +31,11 @@ def trailing_totals(df: DataFrame, entity: str, day: str, values: Sequence[str],
 
     Each daily total is exploded onto every day it influences (itself and the
     following ``max(periods) - 1`` days, up to the entity's last day), the copies
-    are summed by entity and day, and the calendar rows of the entity are joined
-    for the zeros.  Daily totals come first, so that an entity has at most one row
-    per day and no entity is large; all further steps keep the partitioning by
-    entity and need no further shuffle.
+    are summed by entity and day.  The calendar rows for the zeros join in as further
+    copies, worth nothing, of the daily total before a gap: a join proper on entity and
+    day would shuffle the copies once more.  Daily totals come first, so that an entity
+    has at most one row per day and no entity is large; all further steps keep the
+    partitioning by entity.
 
     * The average is the total over the number of days of the period, days without
       rows and days before the entity's first day counting as zero.
@@ -54,19 +55,22 @@ def trailing_totals(df: DataFrame, entity: str, day: str, values: Sequence[str],
         .agg(*[F.coalesce(F.sum(f"v{i}"), F.lit(0.0)).alias(f"v{i}") for i in range(len(values))])
         .repartition("__e")
     )
-    spans = daily.groupBy("__e").agg(F.min("__d").alias("__first"), F.max("__d").alias("__last"))
     longest = periods[-1]
-    influence = daily.select("__e", F.col("__d").alias("__from"), *[f"v{i}" for i in range(len(values))], F.explode(F.sequence("__d", F.date_add("__d", longest - 1))).alias("__d"))
+    series = Window.partitionBy("__e")
+    last, following = F.max("__d").over(series), F.lead("__d").over(series.orderBy("__d"))
+    until = F.greatest(F.least(F.date_add("__d", longest - 1), "__last"), F.coalesce(F.date_sub("__next", 1), "__last"))
+    influence = daily.withColumns({"__last": last, "__next": following}).select(
+        "__e", F.col("__d").alias("__from"), *[f"v{i}" for i in range(len(values))], F.explode(F.sequence("__d", until)).alias("__d")
+    )
     totals = [
-        F.sum(F.when(F.datediff("__d", "__from") < p, F.col(f"v{i}")) if p < longest else F.col(f"v{i}")).alias(f"t{i}_{p}")
+        F.sum(F.when(F.datediff("__d", "__from") < p, F.col(f"v{i}")).otherwise(0.0)).alias(f"t{i}_{p}")
         for i in range(len(values))
         for p in periods
     ]
     moved = influence.groupBy("__e", "__d").agg(*totals)
-    grid = spans.select("__e", F.explode(F.sequence("__first", "__last")).alias("__d"))
     out = [quoted("__e").alias(entity), quoted("__d").alias(day)]
     for i, v in enumerate(values):
         for p in periods:
-            total = F.coalesce(F.col(f"t{i}_{p}"), F.lit(0.0))
+            total = F.col(f"t{i}_{p}")
             out += [total.alias(f"{v}_sum_{p}d"), (total / p).alias(f"{v}_avg_{p}d")]
-    return grid.join(moved, ["__e", "__d"], "left").select(*out)
+    return moved.select(*out)
