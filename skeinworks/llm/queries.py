@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skeinworks.llm import encoding
+from skeinworks.llm import encoding, leakage
 from skeinworks.session import read_table
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(read_table(spark, d, "documents"), "doc_id", "text", read_table(spark, d, "eval_items"), "item_id", "item_text")
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return encoding.affected(read_table(spark, d, "documents"), "doc_id", "text").select("doc_id")
 
@@ -16,5 +20,5 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
     return encoding.restored(read_table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p9_found, p9_restored)}
+QUERIES = {f.__name__: f for f in (p7_found, p9_found, p9_restored)}
 ORACLE: dict[str, str] = {}
