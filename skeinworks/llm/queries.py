@@ -3,11 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from skeinworks.llm import encoding, leakage
+from skeinworks.llm import encoding, leakage, radix
 from skeinworks.session import read_table
 
 
+def p1_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    return radix.radix_percentiles(read_table(spark, d, "caven20"), "channel", "load_id", ["deliver_qty", "return_qty"])
+
+
+def p1_summary(spark: SparkSession, d: str) -> DataFrame:
+    cells = radix.digit_histogram(read_table(spark, d, "caven20"), "channel", "load_id", ["deliver_qty", "return_qty"])
+    return cells.groupBy("k", "g", "m").agg(F.sum("n").alias("n"), F.min("lo").alias("lowest"), F.max("hi").alias("highest"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(read_table(spark, d, "documents"), "doc_id", "text", read_table(spark, d, "eval_items"), "item_id", "item_text")
 
@@ -20,5 +30,15 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
     return encoding.restored(read_table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p7_found, p9_found, p9_restored)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p1_percentiles, p1_summary, p7_found, p9_found, p9_restored)}
+
+_VALUES = """v AS (SELECT trim(channel, ' ') AS channel, CAST(load_id AS BIGINT) AS load_id, 'deliver_qty' AS measure, deliver_qty + 0 AS x FROM caven20 WHERE NOT isnan(deliver_qty) AND channel IS NOT NULL
+    UNION ALL SELECT trim(channel, ' '), CAST(load_id AS BIGINT), 'return_qty', return_qty + 0 FROM caven20 WHERE NOT isnan(return_qty) AND channel IS NOT NULL),
+    r AS (SELECT channel, load_id, false AS all_parts, measure, x FROM v UNION ALL SELECT channel, NULL, true, measure, x FROM v)"""
+ORACLE: dict[str, str] = {
+    "p1_percentiles": f"""WITH {_VALUES}, l AS (SELECT channel, load_id, all_parts, measure, count(*) AS n, list_sort(list(x)) AS xs FROM r GROUP BY ALL)
+        SELECT channel, load_id, all_parts, measure, n, """
+    + ", ".join(f"CAST(xs[greatest(1, (n * {q} + 999) // 1000)] AS DOUBLE) AS p{q}" for q in (50, 250, 500, 750, 950, 990))
+    + ", 0.0 AS error_bound FROM l",
+    "p1_summary": f"WITH {_VALUES} SELECT channel AS k, load_id AS g, CASE measure WHEN 'deliver_qty' THEN 0 ELSE 1 END AS m, count(*) AS n, min(x) AS lowest, max(x) AS highest FROM v GROUP BY ALL",
+}
