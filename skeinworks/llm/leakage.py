@@ -229,8 +229,10 @@ def _search(h: np.ndarray, starts: np.ndarray, items: _Items, plan: _Plan) -> se
 def _verify(candidates: np.ndarray, h: np.ndarray, starts: np.ndarray, items: _Items) -> set[tuple[int, int]]:
     """Exact check of (text, item, offset of the item's first word) candidates."""
     # A leak leaves many equal words on a few neighbouring diagonals; count them for all candidates at once.
-    candidates = np.unique(candidates, axis=1)
-    text, item, offset = candidates
+    low = int(candidates[2].min())
+    wide = int(candidates[2].max()) - low + 1
+    code = np.unique((candidates[0] * len(items.ids) + candidates[1]) * wide + (candidates[2] - low))
+    text, item, offset = code // wide // len(items.ids), code // wide % len(items.ids), code % wide + low
     need = items.sizes[item] * 0.5
     sure = np.zeros(len(text), np.int64)
     slack = 4

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinworks.llm import encoding, leakage, radix
-from skeinworks.session import read_table
+from skeinworks.llm import encoding, leakage, mixture, radix
+from skeinworks.session import read_table, stage
 
 
 def p1_percentiles(spark: SparkSession, d: str) -> DataFrame:
@@ -22,6 +22,15 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(read_table(spark, d, "documents"), "doc_id", "text", read_table(spark, d, "eval_items"), "item_id", "item_text")
 
 
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    counted = stage(mixture.token_counts(read_table(spark, d, "documents"), "doc_id", "text", "source"))
+    return mixture.mix(counted, read_table(spark, d, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.reached(p8_mixture(spark, d), read_table(spark, d, "mix_targets"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return encoding.affected(read_table(spark, d, "documents"), "doc_id", "text").select("doc_id")
 
@@ -30,7 +39,7 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
     return encoding.restored(read_table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_percentiles, p1_summary, p7_found, p9_found, p9_restored)}
+QUERIES = {f.__name__: f for f in (p1_percentiles, p1_summary, p7_found, p8_mixture, p8_shares, p9_found, p9_restored)}
 
 _VALUES = """v AS (SELECT trim(channel, ' ') AS channel, CAST(load_id AS BIGINT) AS load_id, 'deliver_qty' AS measure, deliver_qty + 0 AS x FROM caven20 WHERE NOT isnan(deliver_qty) AND channel IS NOT NULL
     UNION ALL SELECT trim(channel, ' '), CAST(load_id AS BIGINT), 'return_qty', return_qty + 0 FROM caven20 WHERE NOT isnan(return_qty) AND channel IS NOT NULL),

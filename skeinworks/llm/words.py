@@ -23,20 +23,27 @@ _B = np.uint64(0x9E3779B97F4A7C15)
 _timing = re.compile(r"(?:(?:\A|(?<=\n))[^\S\n]*\d+[^\S\n]*\n)?[^\n]*-->[^\n]*")
 _form = re.compile(r"<[^<>\n]{0,40}>|\{[^{}\n]{0,60}\}|\[[^\[\]]{0,80}\]|\([^()]{0,80}\)|\*[^*\n]{1,40}\*")
 _song = re.compile(r"(?:<[^<>]*>|\{[^{}]*\}|[“\"\-–— ])*♪[^♪]*♪?(?:<[^<>]*>|[”…\"\-–— ])*", re.S)
-# What credits and adverts between the cues of a film are known by.
-_notice = re.compile(r"[\w-]+\.[a-z]{3,}|@|©|\(c\) ?\d|(?i:\b(?:www|vip|subtitles?|subtitled|captioned|ripped|downloaded|sync(?:ed)?|advertise|uploaded|encoded|translated) (?:by|from|member|your|&|and)\b)")
+# What credits and adverts between the cues of a film are known by (small letters).
+NOTICES = ("@", "©", "(c) ", "www.", "subtitles by", "subtitled by", "captioned by", "capti0ned by", "ripped by", "downloaded from", "sync & corr", "advertise", "vip member", "uploaded by", "encoded by")
+_site = re.compile(r"\.[a-z]{3}")
 _label = re.compile(r"(?:\A|(?<=\n))[^\S\n]*(?:[-–—“\"][^\S\n]*)*([^\W\d_a-z]{2,24})[^\S\n]*:")
 
 
+def is_notice(text: str) -> bool:
+    """It holds the address of a site or the words of a credit or advert."""
+    small = text.lower()
+    return any(x in small for x in NOTICES) or _site.search(small) is not None
+
+
 def without_interruptions(text: str) -> str | None:
     """The text without whole cues that are a song line, a credit or an advert; None if it has none."""
-    if "-->" not in text:
+    if "-->" not in text or ("♪" not in text and not is_notice(text)):
         return None
     out, dropped = [], False
     blocks = re.split(r"\n[^\S\n]*\n", text.replace("\r\n", "\n").replace("\r", "\n"))
     for block in blocks:
         body = block[block.find("-->") :].partition("\n")[2].strip()
-        if body and (_song.fullmatch(body) or _notice.search(body)):
+        if body and (_song.fullmatch(body) or is_notice(body)):
             dropped = True
         else:
             out.append(block)
