@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinworks.operators import badrows, heavykeys, regular, trailing
+from skeinworks.operators import badrows, heavykeys, profile, regular, trailing
 from skeinworks.session import read_table
 
 _LINE = ("line_id", "file_name", "line_no", "layout")
@@ -24,6 +24,23 @@ def p2_channel_totals(spark: SparkSession, d: str) -> DataFrame:
     return totals.withColumns({c: F.round(c, 1) for c in ("deliver_qty_sum", "return_qty_sum")})
 
 
+#: A channel: customer / product line / pack / region.
+CHANNEL = r"[0-9]{7}/[0-9]{10}/[0-9]{2}-[0-9]{2}/[0-9]{2}"
+
+
+def p3_unlike(spark: SparkSession, d: str) -> DataFrame:
+    return profile.unlike_loads(read_table(spark, d, "caven20"), "load_id", "loaded_at", ["deliver_qty", "return_qty"], ["date"], read_table(spark, d, "calendar_days"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_unlike(spark, d).select(F.col("load_id").cast("int").alias("load_id"), "column_name")
+
+
+def p3_profile(spark: SparkSession, d: str) -> DataFrame:
+    done = profile.column_profile(read_table(spark, d, "caven20"), "load_id", ["row_id", "deliver_qty", "return_qty"], ["date", "loaded_at"], {"channel": CHANNEL})
+    return done.select("column", "load_id", "n_rows", *[F.round(c, 6).alias(c) for c in ("null_share", "nan_share", "negative_share", "zero_share")], "lowest", "highest", "n_violations")
+
+
 def p4_trailing(spark: SparkSession, d: str) -> DataFrame:
     return trailing.trailing_totals(read_table(spark, d, "caven20"), "channel", "date", ["deliver_qty", "return_qty"], (7, 30), calendar=read_table(spark, d, "calendar_days"))
 
@@ -62,7 +79,7 @@ def p6_rejects(spark: SparkSession, d: str) -> DataFrame:
     return badrows.rejected_records(_records(spark, d), _LINE)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_channel_totals, p4_trailing_rounded, p5_found, p5_regular, p5_weekly, p6_found, p6_valid, p6_rejects)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_channel_totals, p3_found, p3_unlike, p3_profile, p4_trailing_rounded, p5_found, p5_regular, p5_weekly, p6_found, p6_valid, p6_rejects)}
 
 _READINGS = """k AS (SELECT trim(channel, ' ') AS channel, date, CASE WHEN NOT isnan(deliver_qty) THEN CAST(deliver_qty AS DOUBLE) END AS deliver_qty,
     CASE WHEN NOT isnan(return_qty) THEN CAST(return_qty AS DOUBLE) END AS return_qty
@@ -89,6 +106,25 @@ ORACLE = {
         count(CASE WHEN NOT isnan(deliver_qty) THEN 1 END) AS deliver_qty_n, round(sum(CASE WHEN NOT isnan(deliver_qty) THEN CAST(deliver_qty AS DOUBLE) END), 1) AS deliver_qty_sum,
         count(CASE WHEN NOT isnan(return_qty) THEN 1 END) AS return_qty_n, round(sum(CASE WHEN NOT isnan(return_qty) THEN CAST(return_qty AS DOUBLE) END), 1) AS return_qty_sum
         FROM caven20 GROUP BY 1""",
+    "p3_profile": "WITH k AS (SELECT *, CAST(load_id AS BIGINT) AS l FROM caven20) "
+    + " UNION ALL ".join(
+        f"""SELECT '{c}' AS column, l AS load_id, count(*) AS n_rows, round(count(*) FILTER ({c} IS NULL) / count(*), 6) AS null_share, round(count(*) FILTER (isnan({v})) / count(*), 6) AS nan_share,
+        round(count(*) FILTER ({v} < 0 AND NOT isnan({v})) / count(*), 6) AS negative_share, round(count(*) FILTER ({v} = 0) / count(*), 6) AS zero_share,
+        min(CASE WHEN NOT isnan({v}) THEN {v} END) AS lowest, max(CASE WHEN NOT isnan({v}) THEN {v} END) AS highest,
+        CAST({bad} AS BIGINT) AS n_violations FROM k GROUP BY l"""
+        for c, v, bad in (
+            ("row_id", "CAST(row_id AS DOUBLE)", "0"),
+            ("deliver_qty", "CAST(deliver_qty AS DOUBLE)", "0"),
+            ("return_qty", "CAST(return_qty AS DOUBLE)", "0"),
+            ("channel", "CAST(NULL AS DOUBLE)", f"count(*) FILTER (channel IS NOT NULL AND NOT regexp_full_match(channel, '{CHANNEL}'))"),
+        )
+    )
+    + " UNION ALL "
+    + " UNION ALL ".join(
+        f"""SELECT '{c}', l, count(*), round(count(*) FILTER ({c} IS NULL) / count(*), 6), 0, 0, 0, CAST(min(CAST({c} AS DATE) - CAST('1970-01-01' AS DATE)) AS DOUBLE),
+        CAST(max(CAST({c} AS DATE) - CAST('1970-01-01' AS DATE)) AS DOUBLE), 0 FROM k GROUP BY l"""
+        for c in ("date", "loaded_at")
+    ),
     "p4_trailing_rounded": f"WITH {_READINGS}, {_SPAN}, full_grid AS (SELECT channel, date, coalesce(dq, 0) AS dq, coalesce(rq, 0) AS rq FROM grid LEFT JOIN daily USING (channel, date)) SELECT channel, date, "
     + ", ".join(f"round(sum({c}) OVER w{p} / {by}, 0) + 0 AS {n}_{what}_{p}d" for c, n in (("dq", "deliver_qty"), ("rq", "return_qty")) for p in (7, 30) for what, by in (("sum", 1), ("avg", p)))
     + " FROM full_grid WINDOW w7 AS (PARTITION BY channel ORDER BY date ROWS 6 PRECEDING), w30 AS (PARTITION BY channel ORDER BY date ROWS 29 PRECEDING)",
