@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from skeinworks.plans import problems
+from skeinworks.plans import parity, problems
+from skeinworks.plans.parity import flagship
+
+__all__ = ["flagship", "oracle_sql", "queries"]
 
 
 def queries():
-    return dict(problems.QUERIES)
+    return {**parity.QUERIES, **problems.QUERIES}
 
 
 def oracle_sql():
-    return dict(problems.ORACLE)
+    return {**parity.ORACLE, **problems.ORACLE}
