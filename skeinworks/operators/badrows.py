@@ -21,7 +21,7 @@ import pyarrow.csv as pcsv
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinworks.session import quoted
+from skeinworks.session import only, quoted
 
 NUMBER = r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
 _number, _date = re.compile(NUMBER), re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}")
@@ -205,6 +205,7 @@ def parse_records(df: DataFrame, raw: str, layout: str, keep: tuple[str, ...] =
     clash = {c.lower() for c in keep} & {"date", "channel", "deliver_qty", "return_qty", "reason"}
     if clash:
         raise ValueError(f"columns of the result can't be kept from the input: {sorted(clash)}")
+    df = only(df, *keep, raw, layout)
     read = df.select(*[quoted(c) for c in keep], quoted(raw).cast("string").alias("__raw"), quoted(layout).cast("string").alias("__layout"))
     schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema.fields[: len(keep)]]
     schema = ", ".join([*schema, "date date, channel string, deliver_qty float, return_qty float, reason string"])

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinworks.session import quoted
+from skeinworks.session import only, quoted
 
 #: Keys that one block of accumulators is meant to hold.
 BLOCK_KEYS = 50_000
@@ -99,6 +99,7 @@ def key_totals(df: DataFrame, key: str, values: Sequence[str] = (), *, trim: boo
     * ``block_keys`` bounds the accumulators of one reducing task (expected keys).
     """
     values, width = list(values), len(values)
+    df = only(df, key, *values)
     text = quoted(key).cast("string")
     read = df.select((F.trim(text) if trim else text).alias("k"), *[quoted(v).cast("double").alias(f"v{i}") for i, v in enumerate(values)])
     distinct = df.select(F.approx_count_distinct(text)).first()[0]

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skeinworks.session import fits_broadcast, quoted, stage
+from skeinworks.session import fits_broadcast, is_plain_scan, only, quoted, stage
 from skeinworks.sources.chunks import chunks_of
 
 #: Cells of a value's magnitude to one doubling.
@@ -53,7 +53,7 @@ def _days(x) -> float:
 def known_chunks(df: DataFrame, part: str, numbers: Sequence[str], dates: Sequence[str], texts: dict[str, str]) -> DataFrame:
     """Counts of the chunks that need no scan (schema ``_STATS``), read from footers and dictionaries."""
     spark = df.sparkSession
-    files = df.inputFiles()
+    files = df.inputFiles() if is_plain_scan(df) else []
     listed = spark.createDataFrame([(f,) for f in files], "file string").repartition(max(1, min(len(files), 4 * spark.sparkContext.defaultParallelism)))
     columns, text_columns = [*numbers, *dates, *texts], list(texts)
 
@@ -94,14 +94,20 @@ def known_chunks(df: DataFrame, part: str, numbers: Sequence[str], dates: Sequen
     return listed.mapInPandas(run, _STATS)
 
 
+def _path(uri: Column) -> Column:
+    """A file's address with a single slash after the scheme, as ``_metadata`` and the file list differ in that."""
+    return F.regexp_replace(uri, "^([A-Za-z0-9+.-]+):/+", "$1:/")
+
+
 def _scan(df: DataFrame, part: str, numbers, dates, texts, known: DataFrame) -> DataFrame:
     """(``column``, ``part``, ``class``, ``cell``, ``value``, ``text``) of every value that the known chunks leave out."""
     columns = [*numbers, *dates, *texts]
-    rows = df.select(quoted(part).cast("long").alias("part"), *[quoted(c).alias(f"c{i}") for i, c in enumerate(columns)], F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    spans = known.groupBy("file", "first_row", "end_row").agg(F.collect_set("column").alias("done"))
+    wanted = [quoted(part).cast("long").alias("part"), *[quoted(c).alias(f"c{i}") for i, c in enumerate(columns)]]
+    spans = known.groupBy(_path(F.col("file")).alias("file"), "first_row", "end_row").agg(F.collect_set("column").alias("done"))
     if spans.isEmpty():
-        rows = rows.drop("file", "row").withColumn("done", F.array().cast("array<string>"))
+        rows = df.select(*wanted).withColumn("done", F.array().cast("array<string>"))
     else:
+        rows = df.select(*wanted, _path(F.col("_metadata.file_path")).alias("file"), F.col("_metadata.row_index").alias("row"))
         side = F.broadcast(spans) if fits_broadcast(spans, BROADCAST_CHUNKS) else spans
         rows = rows.join(side, (rows["file"] == side["file"]) & (F.col("row") >= F.col("first_row")) & (F.col("row") < F.col("end_row")), "left").drop("file", "row")
     values = []
@@ -123,6 +129,7 @@ def _scan(df: DataFrame, part: str, numbers, dates, texts, known: DataFrame) ->
 
 def column_counts(df: DataFrame, part: str, numbers: Sequence[str] = (), dates: Sequence[str] = (), texts: dict[str, str] | None = None) -> DataFrame:
     """(``column``, ``part``, ``class``, ``cell``, ``n``, ``lo``, ``hi``): counts of all values, known or scanned."""
+    df = only(df, part, *numbers, *dates, *(texts or {}))
     known = stage(known_chunks(df, part, numbers, dates, texts or {}))
     scanned = _scan(df, part, numbers, dates, texts or {}, known).groupBy("column", "part", "class", "cell").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
     names = ["column", "part", "class", "cell", "n", "lo", "hi"]
@@ -143,6 +150,7 @@ def column_profile(df: DataFrame, part: str, numbers: Sequence[str] = (), dates:
     gives an empty result; columns not named are not read.
     """
     texts = texts or {}
+    df = only(df, part, *numbers, *dates, *texts)
     known = stage(known_chunks(df, part, numbers, dates, texts))
     scanned = _scan(df, part, numbers, dates, texts, known)
     rows = scanned.select("column", "part", "class", F.lit(1).cast("long").alias("n"), F.col("value").alias("lo"), F.col("value").alias("hi"), "text").unionByName(
@@ -212,6 +220,7 @@ def unlike_loads(df: DataFrame, part: str, loaded_at: str, numbers: Sequence[str
     Rows without part belong to no load.  A column that is null in every load is like
     itself.  An empty table, or a single load, gives no case.  Repeated rows count.
     """
+    df = only(df, part, loaded_at, *numbers, *dates)
     counts = stage(column_counts(df, part, numbers, dates).where("part IS NOT NULL"))
     months = (
         df.groupBy(quoted(part).cast("long").alias("part"))

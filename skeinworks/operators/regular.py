@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinworks.operators.trailing import calendar_rows
-from skeinworks.session import quoted
+from skeinworks.session import only, quoted
 
 
 def step_intervals(daily: DataFrame, hold: int | None) -> DataFrame:
@@ -47,6 +47,7 @@ def regular_series(df: DataFrame, entity: str, day: str, value: str, *, cell_day
     """
     if cell_days < 1 or (hold is not None and hold < 1):
         raise ValueError("cell_days and hold must be positive")
+    df = only(df, entity, day, value)
     number = quoted(value).cast("double")
     daily = (
         calendar_rows(df, entity, day, calendar, calendar_day)

@@ -6,6 +6,7 @@ without gaps) says it; operators here read or make it.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -138,10 +139,10 @@ def cyclic_repeat(df: DataFrame, limit: int) -> DataFrame:
 
 
 def horizon_rows(df: DataFrame, view: int) -> DataFrame:
-    """``view`` rows, dense at the head and ever sparser: row i is ``max(i, int(n-1 - sin((view-i)/view * pi/2) * (n-1)))``."""
+    """``view`` rows, dense at the head and ever sparser: row i is ``max(i, int(n - 2 - n * sin((view - i) / view * pi / 2)))``."""
     n = df.count()
     i = F.col("id")
-    far = F.floor(F.lit(n - 1) - F.sin((F.lit(view) - i) / view * F.lit(3.141592653589793 / 2)) * (n - 1))
+    far = F.lit(n - 2) - F.sin((F.lit(view) - i) / view * F.lit(math.pi / 2)) * n
     picks = df.sparkSession.range(view).select(i.alias("pos"), F.greatest(i, far.cast("long")).alias(ROW))
     return picks.join(df, ROW).withColumnRenamed(ROW, "source_row").withColumnRenamed("pos", ROW)
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skeinworks.session import quoted
+from skeinworks.session import only, quoted
 
 
 def calendar_rows(df: DataFrame, entity: str, day: str, calendar: DataFrame | None, calendar_day: str = "date") -> DataFrame:
@@ -44,6 +44,7 @@ def trailing_totals(df: DataFrame, entity: str, day: str, values: Sequence[str],
     * An empty table gives an empty result; clashing names of other columns are
       harmless because only the named columns are read.
     """
+    df = only(df, entity, day, *values)
     periods, values = sorted({int(p) for p in periods}), list(values)
     if not periods or periods[0] < 1:
         raise ValueError("periods must be positive numbers of days")

@@ -429,7 +429,7 @@ def cyclic_repeat(spark, d):
     return rows.cyclic_repeat(_by(spark, d, "region", "r_regionkey").select(ROW, "r_name"), 17).select(F.col(ROW).alias("row"), "r_name")
 
 
-@query("""WITH n AS (SELECT count(*) AS n FROM events) SELECT i AS row, greatest(i, CAST(floor((n - 1) - sin((100 - i) / 100 * pi() / 2) * (n - 1)) AS BIGINT)) AS source_row
+@query("""WITH n AS (SELECT count(*) AS n FROM events) SELECT i AS row, greatest(i, CAST(trunc(n - 2 - sin((100 - i) / 100 * pi() / 2) * n) AS BIGINT)) AS source_row
     FROM n, generate_series(0, 99) g(i)""")
 def horizon_sample(spark, d):
     e = rows.with_row(read_table(spark, d, "events").select("event_id"), "event_id")

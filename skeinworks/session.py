@@ -64,6 +64,29 @@ def free_name(taken, wanted: str) -> str:
     return name
 
 
+def only(df: DataFrame, *wanted: str) -> DataFrame:
+    """``df`` such that the wanted names are unambiguous, whatever its other columns are called.
+
+    Where names clash (equal but for case, or altogether) the wanted columns are taken
+    by position, the one of exactly that spelling and the first of equal ones, and the
+    others are left out.
+    """
+    low = [c.lower() for c in df.columns]
+    if len(set(low)) == len(low):
+        return df
+    at = {w: df.columns.index(w) if w in df.columns else low.index(w.lower()) if w.lower() in low else None for w in wanted}
+    missing = [w for w, i in at.items() if i is None]
+    if missing:
+        raise ValueError(f"no such columns: {missing}")
+    plain = df.toDF(*[f"c{i}" for i in range(len(low))])
+    return plain.select(*[F.col(f"c{i}").alias(w) for w, i in at.items()])
+
+
+def is_plain_scan(df: DataFrame) -> bool:
+    """True when ``df`` is all rows of its files, so that what the files say holds for it."""
+    return df._jdf.queryExecution().analyzed().nodeName().startswith(("LogicalRelation", "Relation"))
+
+
 def quoted(name: str):
     """The column of exactly this name, whatever dots or brackets it holds."""
     return F.col("`" + name.replace("`", "``") + "`")
