@@ -9,22 +9,24 @@ never accepts what the strict parser would refuse: where it can't be sure, it fa
 
 from __future__ import annotations
 
+import datetime
 import io
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.csv as pcsv
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinworks.session import only, quoted
+from skeinworks.session import only, quoted, spread
 
 NUMBER = r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
 _number, _date = re.compile(NUMBER), re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}")
+_EPOCH, _CYCLE = datetime.date(1970, 1, 1).toordinal(), 146_097
 #: A csv record in which every quote is part of an enclosed field or its doubling.
 _CSV_SHAPE = r'^(?:"[^"]*"|[^",]*)(?:,(?:"[^"]*"|[^",]*)){3}$'
 
@@ -47,7 +49,7 @@ class RecordLayout:
 CSV = RecordLayout()
 FWF = RecordLayout(((0, 10), (10, 84), (84, 124), (124, 164)))
 #: Records per block at first, and from which size on they are diagnosed singly.
-BLOCK, LEAF = 256, 4
+BLOCK, LEAF = 1024, 64
 
 
 def split_csv(line: str) -> tuple[list[str], str | None]:
@@ -85,10 +87,12 @@ def day_number(text: str) -> int | None:
     """Days since 1970-01-01 of a real day written yyyy-MM-dd (years 0000 to 9999)."""
     if not _date.fullmatch(text):
         return None
-    try:
-        return int(np.datetime64(text, "D").astype(np.int64))
+    year = int(text[:4])
+    try:  # year 0 has the calendar of year 400, a full cycle later
+        n = datetime.date(year or 400, int(text[5:7]), int(text[8:])).toordinal() - _EPOCH
     except ValueError:
         return None
+    return n if year else n - _CYCLE
 
 
 def parse_strict(line: str | None, layout: RecordLayout) -> tuple[int | None, str | None, float | None, float | None, str | None]:
@@ -115,7 +119,7 @@ def parse_strict(line: str | None, layout: RecordLayout) -> tuple[int | None, st
     values = []
     for name, n in zip(("deliver_qty", "return_qty"), numbers):
         value = None if not n else float(n) if _number.fullmatch(n) else float("nan")
-        if value is not None and not np.isfinite(value):
+        if value is not None and not math.isfinite(value):
             return *nothing, f"invalid {name}"
         values.append(value)
     return when, text, values[0], values[1], None
@@ -229,7 +233,7 @@ def parse_records(df: DataFrame, raw: str, layout: str, keep: tuple[str, ...] =
                 columns[2:4] = [c.cast(pa.float32(), safe=False) for c in columns[2:4]]
                 yield pa.RecordBatch.from_arrays([*part.columns[:width], *columns], names=[*part.schema.names[:width], "date", "channel", "deliver_qty", "return_qty", "reason"])
 
-    return read.mapInArrow(run, schema)
+    return spread(read).mapInArrow(run, schema)
 
 
 def without_headers(df: DataFrame, line_no: str, layout: str) -> DataFrame:

@@ -131,7 +131,7 @@ ORACLE = {
     "p5_found": f"WITH {_READINGS}, {_SPAN} SELECT channel, strftime(date, '%Y-%m-%d') AS missing_day FROM grid ANTI JOIN daily USING (channel, date)",
     "p5_regular": _STATES.replace("?", "7")
     + """ SELECT g.channel, g.date AS cell_start, CASE WHEN g.date = h.a THEN h.n ELSE 0 END AS n_rows, CASE WHEN g.date < h.b THEN h.v END AS value,
-        CASE WHEN g.date < h.b THEN 1.0 ELSE 0.0 END AS coverage, CASE WHEN g.date = h.a THEN 'observed' WHEN g.date < h.b THEN 'filled' ELSE 'missing' END AS state
+        CASE WHEN g.date < h.b THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS coverage, CASE WHEN g.date = h.a THEN 'observed' WHEN g.date < h.b THEN 'filled' ELSE 'missing' END AS state
         FROM grid g JOIN held h ON g.channel = h.channel AND g.date >= h.a AND g.date < h.z""",
     "p5_weekly": _STATES.replace("?", "14")
     + """ , days AS (SELECT g.channel, CAST('1970-01-01' AS DATE) + CAST(floor((g.date - CAST('1970-01-01' AS DATE)) / 7) * 7 AS INTEGER) AS cell_start, CASE WHEN g.date = h.a THEN h.n ELSE 0 END AS n,

@@ -55,6 +55,15 @@ def fits_broadcast(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """For a table in fewer pieces than there are cores: deal its rows out to all of them.
+
+    Meant for scans before costly work per row; a table in enough pieces is not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def free_name(taken, wanted: str) -> str:
     """``wanted``, or ``wanted_1``, ... : the first that no column (case-insensitively) has."""
     low, name, n = {c.lower() for c in taken}, wanted, 0

@@ -4,6 +4,7 @@ import datetime
 import math
 import os
 from collections import Counter
+from decimal import Decimal
 
 import duckdb
 
@@ -24,7 +25,7 @@ def _plain(x):
         return None
     if isinstance(x, bool):
         return x
-    if isinstance(x, (int, float)):
+    if isinstance(x, (int, float, Decimal)):
         return round(float(x), 5) + 0.0
     if isinstance(x, datetime.datetime):
         return x.replace(tzinfo=None)
