@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinworks.session import fits_broadcast, quoted, stage
+from skeinworks.session import fits_broadcast, only, quoted, stage
 
 # Encodings a text may have been written in, and ones it may be read in.
 WRITTEN = ("utf-8", "cp1252", "cp1250", "iso8859-2", "cp1251", "koi8-r", "cp866", "iso8859-5", "mac_roman", "mac_cyrillic", "cp437", "cp850", "cp852")
@@ -30,7 +30,10 @@ SIGNS = "’‘“”„«»‹›…—–¿¡♪♫©®™°£€§№ ﻿"
 LOST = "�"
 #: Rows up to which the table of garbled tokens is broadcast instead of shuffled.
 BROADCAST_ROWS = 20_000
-TOKEN = r"[A-Za-z0-9]*[^\x00-\x7F](?:[A-Za-z0-9]|[^\x00-\x7F])*"
+#: A run of ASCII letters and digits and of anything beyond ASCII, with at least one of the latter.
+#: Possessive and begun only where a run begins, so linear in texts without blanks; read alike by Java and Python.
+_BEYOND = "\x80-\U0010ffff"
+TOKEN = f"(?<![A-Za-z0-9{_BEYOND}])[A-Za-z0-9]*+[{_BEYOND}][A-Za-z0-9{_BEYOND}]*+"
 _word = re.compile(r"[^\W\d_]+")
 _script = re.compile(r"[A-Za-zªºÀ-ÖØ-öø-ɏ]+|[Ͱ-Ͽ]+|[Ѐ-ԯ]+")
 _beside = re.compile("[" + re.escape(BETWEEN + OPENING + CLOSING) + "]")
@@ -198,6 +201,7 @@ def undo_characters(token: str, forms: dict[str, str], longest: int) -> tuple[st
 
 def garbled_tokens(df: DataFrame, text: str) -> DataFrame:
     """(``token``, ``original``, ``chain``): the garbled tokens; ``original`` is null if unknown."""
+    df = only(df, text)
     tokens = stage(token_counts(df, text))
     words = stage(clean_words(tokens))
     characters, known = character_forms(words, tokens)
@@ -228,19 +232,19 @@ def garbled_tokens(df: DataFrame, text: str) -> DataFrame:
     changed = (
         parts.groupBy("part")
         .agg(F.sum("n_docs").alias("own"))
-        .join(form_table(words).withColumnRenamed("form", "part"), "part")
+        .join(form_table(words).withColumnRenamed("form", "part").hint("merge"), "part")  # its size grows with the corpus: never broadcast
         .where("n > own")
         .groupBy("part")
         .agg(F.max_by(F.struct("original", "chain"), F.struct("n", "original")).alias("best"), F.countDistinct("original").alias("ways"))
     )
     certain = (F.col("ways") == 1) | ~F.contains("part", F.lit(LOST))  # of several words that lost the same letters none is certain
-    joined = parts.join(changed, "part").select("token", F.when(certain, F.replace("token", "part", "best.original")).alias("original"), "best.chain", F.length("part").alias("size"))
+    joined = parts.join(changed.hint("merge"), "part").select("token", F.when(certain, F.replace("token", "part", "best.original")).alias("original"), "best.chain", F.length("part").alias("size"))
     order = F.struct(F.col("original").isNotNull(), F.col("size"), F.col("original"))
     return joined.unionByName(direct).groupBy("token").agg(F.max_by(F.struct("original", "chain"), order).alias("b")).select("token", "b.original", "b.chain")
 
 
 def _document_tokens(df: DataFrame, id_column: str, text: str) -> DataFrame:
-    return df.select(quoted(id_column).alias("__id"), F.explode(F.array_distinct(F.regexp_extract_all(quoted(text).cast("string"), F.lit(TOKEN), F.lit(0)))).alias("token"))
+    return only(df, id_column, text).select(quoted(id_column).alias("__id"), F.explode(F.array_distinct(F.regexp_extract_all(quoted(text).cast("string"), F.lit(TOKEN), F.lit(0)))).alias("token"))
 
 
 def affected(df: DataFrame, id_column: str, text: str) -> DataFrame:
@@ -281,5 +285,5 @@ def restored(df: DataFrame, id_column: str, text: str) -> DataFrame:
             out.append(token.sub(lambda m: known.get(m[0], m[0]), t))  # noqa: B023
         return pd.Series(out)
 
-    rows = df.select(quoted(id_column).alias("__id"), quoted(text).alias("__text"))
+    rows = only(df, id_column, text).select(quoted(id_column).alias("__id"), quoted(text).cast("string").alias("__text"))
     return rows.join(pairs, "__id").select(F.col("__id").alias(id_column), mend("__text", "pairs").alias("restored_text"), F.forall("pairs", lambda x: x["original"].isNotNull()).alias("complete"))

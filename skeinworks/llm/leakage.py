@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skeinworks.llm import encoding, words
-from skeinworks.session import quoted
+from skeinworks.session import only, quoted, spread
 
 #: Words of a window: half of the shortest item, the least a leak may have.
 WINDOW = 12
@@ -276,6 +276,7 @@ def leaks(corpus: DataFrame, id_column: str, text: str, items: DataFrame, item_i
       are not read, whatever they are called.
     * Items come to the tasks in blocks of ``ITEM_BLOCK``, one pass over the corpus each.
     """
+    corpus, items = only(corpus, id_column, text), only(items, item_id, item_text)
     read = corpus.select(quoted(id_column).cast("long").alias("d"), quoted(text).cast("string").alias("t")).where("t IS NOT NULL")
     wanted = items.select(quoted(item_id).cast("long").alias("i"), quoted(item_text).cast("string").alias("t")).where("t IS NOT NULL AND i IS NOT NULL")
     parts, after = [], None
@@ -299,7 +300,7 @@ def _pass(read: DataFrame, ids: list[int], texts: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan = _Plan()
         items = _Items(*sent.value, plan)
-        token = re.compile(encoding.TOKEN.replace(r"\x7F", r"\x7f"))
+        token = re.compile(encoding.TOKEN)
         odd = re.compile(SUSPECT)
         for batch in batches:
             docs, bodies = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -325,4 +326,4 @@ def _pass(read: DataFrame, ids: list[int], texts: list[str]) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([docs[a] for a, _ in pairs], pa.int64()), pa.array([items.ids[b] for _, b in pairs], pa.int64())], names=["d", "i"])
                 at = end
 
-    return read.mapInArrow(run, "d bigint, i bigint")
+    return spread(read).mapInArrow(run, "d bigint, i bigint")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skeinworks.session import quoted, stage
+from skeinworks.session import only, quoted, spread, stage
 
 #: Where the public tokenizers' files are by default.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -30,6 +30,7 @@ RANGES = 4096
 
 def token_counts(df: DataFrame, id_column: str, text: str, source: str, tokenizer: str = TOKENIZER) -> DataFrame:
     """(``id``, ``source``, ``text_hash``, ``n_tokens``) of every record; a null text has none."""
+    df = only(df, id_column, text, source)
     read = df.select(quoted(id_column).cast("long").alias("id"), quoted(source).cast("string").alias("source"), F.md5(quoted(text).cast("string")).alias("text_hash"), quoted(text).cast("string").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -42,7 +43,7 @@ def token_counts(df: DataFrame, id_column: str, text: str, source: str, tokenize
             counts = [0 if t is None else len(encoder.encode_ordinary(t)) for t in b.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(counts, pa.int64())], names=["id", "source", "text_hash", "n_tokens"])
 
-    return read.mapInArrow(run, "id bigint, source string, text_hash string, n_tokens bigint")
+    return spread(read).mapInArrow(run, "id bigint, source string, text_hash string, n_tokens bigint")
 
 
 class _Flow:

@@ -48,6 +48,6 @@ ORACLE: dict[str, str] = {
     "p1_percentiles": f"""WITH {_VALUES}, l AS (SELECT channel, load_id, all_parts, measure, count(*) AS n, list_sort(list(x)) AS xs FROM r GROUP BY ALL)
         SELECT channel, load_id, all_parts, measure, n, """
     + ", ".join(f"CAST(xs[greatest(1, (n * {q} + 999) // 1000)] AS DOUBLE) AS p{q}" for q in (50, 250, 500, 750, 950, 990))
-    + ", 0.0 AS error_bound FROM l",
+    + ", CAST(0 AS DOUBLE) AS error_bound FROM l",
     "p1_summary": f"WITH {_VALUES} SELECT channel AS k, load_id AS g, CASE measure WHEN 'deliver_qty' THEN 0 ELSE 1 END AS m, count(*) AS n, min(x) AS lowest, max(x) AS highest FROM v GROUP BY ALL",
 }

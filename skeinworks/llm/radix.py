@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skeinworks.session import quoted, stage
+from skeinworks.session import only, quoted, stage
 
 #: Rows that are counted together before a split hands on its histogram.
 FLUSH_ROWS = 400_000
@@ -108,6 +108,7 @@ def _histogram(read: DataFrame, measures: int, wanted=None) -> DataFrame:
 
 
 def _read(df: DataFrame, entity: str, part: str | None, values: Sequence[str]) -> DataFrame:
+    df = only(df, entity, *([part] if part else []), *values)
     g = quoted(part).cast("long") if part else F.lit(None).cast("long")
     rows = df.select(F.trim(quoted(entity).cast("string")).alias("k"), g.alias("g"), *[quoted(v).cast("float").alias(f"v{i}") for i, v in enumerate(values)])
     return rows.where("k IS NOT NULL")
@@ -182,7 +183,7 @@ def radix_percentiles(df: DataFrame, entity: str, part: str | None, values: Sequ
         names = ["k", "m", "level", "g"]
         keys = [F.col(f"a.{x}").eqNullSafe(F.col(f"b.{x}")) for x in names]
         condition = keys[0] & keys[1] & keys[2] & keys[3]
-        better = first.where(F.size("left") > 0).alias("a").join(followed.alias("b"), condition, "left")
+        better = first.where(F.size("left") > 0).alias("a").join(followed.alias("b").hint("merge"), condition, "left")
         done = better.select(*[f"a.{x}" for x in names], "a.n", *[F.coalesce(f"b.q{q}", f"a.q{q}").alias(f"q{q}") for q in permille])
         first, bound = first.where(F.size("left") == 0).select(done.columns).unionByName(done), F.lit(0.0)
     name = F.element_at(F.array(*[F.lit(v) for v in values]), F.col("m") + 1)
@@ -205,7 +206,7 @@ def _follow(read: DataFrame, measures: int, open_: DataFrame, permille: Sequence
     words = cells.mapInArrow(places, "word bigint, bit int").groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toPandas()  # at most 2 ** (FILTER_BITS - 6) rows
     mask = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
     mask[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
-    detail = _histogram(read, measures, mask).select("k", "g", "m", "c", "n", F.col("lo").alias("v")).join(cells, ["k", "m", "c"], "left_semi")
+    detail = _histogram(read, measures, mask).select("k", "g", "m", "c", "n", F.col("lo").alias("v")).join(cells.hint("merge"), ["k", "m", "c"], "left_semi")
     levels = F.explode(F.array(F.struct(F.lit(0).alias("level"), "g"), F.struct(F.lit(1).alias("level"), F.lit(None).cast("long").alias("g")))).alias("x")
     each = detail.select("k", "m", "c", "n", "v", levels).select("k", "m", "c", "n", "v", "x.level", "x.g").groupBy("k", "m", "level", "g", "c", "v").agg(F.sum("n").alias("n"))
     group = Window.partitionBy("k", "m", "level", "g", "c")
@@ -214,6 +215,6 @@ def _follow(read: DataFrame, measures: int, open_: DataFrame, permille: Sequence
     condition = F.lit(True)
     for x in names:
         condition = condition & F.col(f"a.{x}").eqNullSafe(F.col(f"b.{x}"))
-    met = upto.alias("a").join(open_.alias("b"), condition).select(*[f"a.{x}" for x in names], F.col("a.v").cast("double").alias("v"), F.filter("b.hits", lambda x: (x["r"] > F.col("a.upto") - F.col("a.n")) & (x["r"] <= F.col("a.upto"))).alias("hits")).where(F.size("hits") > 0)
+    met = upto.alias("a").join(open_.alias("b").hint("merge"), condition).select(*[f"a.{x}" for x in names], F.col("a.v").cast("double").alias("v"), F.filter("b.hits", lambda x: (x["r"] > F.col("a.upto") - F.col("a.n")) & (x["r"] <= F.col("a.upto"))).alias("hits")).where(F.size("hits") > 0)
     known = F.transform("hits", lambda x: x["q"])
     return met.groupBy("k", "m", "level", "g").agg(*[F.max(F.when(F.array_contains(known, q), F.col("v"))).alias(f"q{q}") for q in permille])

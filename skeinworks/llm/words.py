@@ -20,13 +20,13 @@ CONFUSED = {
 JOINED = "'’‘´`ʼ­️​‍﻿"
 _B = np.uint64(0x9E3779B97F4A7C15)
 
-_timing = re.compile(r"(?:(?:\A|(?<=\n))[^\S\n]*\d+[^\S\n]*\n)?[^\n]*-->[^\n]*")
+_timing = re.compile(r"^(?:[^\S\n]*\d+[^\S\n]*\n)?[^\n]*?-->[^\n]*", re.M)
 _form = re.compile(r"<[^<>\n]{0,40}>|\{[^{}\n]{0,60}\}|\[[^\[\]]{0,80}\]|\([^()]{0,80}\)|\*[^*\n]{1,40}\*")
 _song = re.compile(r"(?:<[^<>]*>|\{[^{}]*\}|[“\"\-–— ])*♪[^♪]*♪?(?:<[^<>]*>|[”…\"\-–— ])*", re.S)
 # What credits and adverts between the cues of a film are known by (small letters).
 NOTICES = ("@", "©", "(c) ", "www.", "subtitles by", "subtitled by", "captioned by", "capti0ned by", "ripped by", "downloaded from", "sync & corr", "advertise", "vip member", "uploaded by", "encoded by")
 _site = re.compile(r"\.[a-z]{3}")
-_label = re.compile(r"(?:\A|(?<=\n))[^\S\n]*(?:[-–—“\"][^\S\n]*)*([^\W\d_a-z]{2,24})[^\S\n]*:")
+_label = re.compile(r"^[^\S\n]*(?:[-–—“\"][^\S\n]*)*([^\W\d_a-z]{2,24})[^\S\n]*:", re.M)
 
 
 def is_notice(text: str) -> bool:
@@ -97,7 +97,7 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     pair = np.empty((len(cp), 2), np.uint32)
     pair[:, 0], pair[:, 1] = first[cp], second[cp]
     codes = pair.reshape(-1)
-    ends = np.cumsum([len(t) + 1 for t in texts]) * 2  # where each text ends among the codes
+    ends = np.cumsum(np.array([len(t) + 1 for t in texts], np.int64)) * 2  # where each text ends among the codes
     keep = codes != 1
     kept = codes[keep].astype(np.uint64)
     text_end = np.concatenate([[0], np.cumsum(keep)])[ends]
