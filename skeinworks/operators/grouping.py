@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skeinworks.operators.rows import ROW
+from skeinworks.operators.rows import ROW, with_row
 from skeinworks.session import quoted
 
 
@@ -104,7 +104,7 @@ def distinct_first_seen(df: DataFrame, *keys: str) -> DataFrame:
 def cluster_ordinal(df: DataFrame, *keys: str, name: str = "cluster") -> DataFrame:
     """Number of the row's key, counted by first appearance."""
     first = distinct_first_seen(df, *keys).withColumnRenamed(ROW, "__first")
-    order = first.withColumn(name, F.row_number().over(Window.orderBy("__first")) - 1).drop("__first")  # a row per distinct key
+    order = with_row(first, "__first").withColumnRenamed(ROW, name)
     condition = None
     right = order.select(*[quoted(k).alias(f"__k{i}") for i, k in enumerate(keys)], name)
     for i, k in enumerate(keys):

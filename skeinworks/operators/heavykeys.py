@@ -167,6 +167,5 @@ def heavy_keys(df: DataFrame, key: str, share: float) -> DataFrame:
     One column, the key.  Rows without a key count as rows of the whole; an empty
     table has no heavy key.
     """
-    totals = key_totals(df, key)
-    whole = totals.agg(F.sum("n_rows").alias("__all"))  # one row
-    return totals.crossJoin(F.broadcast(whole)).where(quoted(key).isNotNull() & (F.col("n_rows") >= F.col("__all") * F.lit(share))).select(quoted(key))
+    whole = df.count()  # of a Parquet table known from its footers
+    return key_totals(df, key).where(quoted(key).isNotNull() & (F.col("n_rows") >= F.lit(whole) * F.lit(share))).select(quoted(key))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skeinworks.operators.rows import ROW
+from skeinworks.operators.rows import ROW, with_row
 from skeinworks.session import quoted
 
 #: Most columns a pivot or one-hot may make; more is an error, not a cut.
@@ -62,10 +62,8 @@ def resample_daily(df: DataFrame, day: str) -> DataFrame:
     missing = days.join(df.select(quoted(day).cast("date").alias(day)).distinct(), day, "left_anti")
     base = df.withColumn(day, quoted(day).cast("date"))
     if ROW in df.columns:
-        from skeinworks.operators.rows import with_row
-
-        end = df.agg((F.max(ROW) + 1).alias("__end"))
-        missing = with_row(missing, day).crossJoin(F.broadcast(end)).withColumn(ROW, F.col(ROW) + F.col("__end")).drop("__end")
+        end = df.agg(F.max(ROW)).first()[0]
+        missing = with_row(missing, day).withColumn(ROW, F.col(ROW) + F.lit(0 if end is None else end + 1))
     return base.unionByName(missing, allowMissingColumns=True)
 
 

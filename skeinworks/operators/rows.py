@@ -72,8 +72,8 @@ def pick_rows(df: DataFrame, numbers: Sequence[int]) -> DataFrame:
 
 def reverse_rows(df: DataFrame) -> DataFrame:
     """Renumber from the end."""
-    last = df.agg(F.max(ROW).alias("__last"))
-    return df.crossJoin(F.broadcast(last)).withColumn(ROW, F.col("__last") - F.col(ROW)).drop("__last")  # one row
+    last = df.agg(F.max(ROW)).first()[0]
+    return df.withColumn(ROW, F.lit(last).cast("long") - F.col(ROW))
 
 
 def first_last(df: DataFrame, column: str) -> DataFrame:
@@ -119,9 +119,8 @@ def concat_rows(*tables: DataFrame) -> DataFrame:
 
 def split_rows(df: DataFrame, parts: int) -> DataFrame:
     """Column ``part``: ``parts`` equal ranges of rows, what is over in the last."""
-    size = df.agg(F.count(F.lit(1)).alias("__n"))
-    each = F.greatest(F.floor(F.col("__n") / parts), F.lit(1))
-    return df.crossJoin(F.broadcast(size)).withColumn("part", F.least(F.floor(F.col(ROW) / each), F.lit(parts - 1)).cast("int")).drop("__n")
+    each = max(1, df.count() // parts)
+    return df.withColumn("part", F.least(F.floor(F.col(ROW) / each), F.lit(parts - 1)).cast("int"))
 
 
 def pair_chunks(df: DataFrame, column: str) -> DataFrame:
