@@ -24,8 +24,8 @@ from skeinworks.session import only, quoted, spread, stage
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how this vocabulary's tokenizer cuts text before its merges.
 CUT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Hash ranges in which the documents of a pattern are put in order.
-RANGES = 4096
+#: Bits of the hash ranges (65,536) in which the documents of a pattern are put in order.
+RANGE_BITS = 16
 
 
 def token_counts(df: DataFrame, id_column: str, text: str, source: str, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -141,7 +141,7 @@ def mix(counted: DataFrame, targets: DataFrame, *, total_tokens: int | None = No
     wanted = counted.where(F.col("source").isin(*shares) & F.col("text_hash").isNotNull()) if shares else counted.where("false")
     documents = stage(wanted.groupBy("text_hash").agg(F.min("id").alias("id"), F.max("n_tokens").alias("n_tokens"), F.array_sort(F.collect_set("source")).alias("pattern")))
     place = F.xxhash64(F.lit(seed), "text_hash")
-    documents = documents.withColumns({"place": place, "range": F.shiftrightunsigned(place, 52)})
+    documents = documents.withColumns({"place": place, "range": F.shiftrightunsigned(place, 64 - RANGE_BITS)})
     sums = documents.groupBy("pattern").agg(F.sum("n_tokens").alias("t")).collect()
     patterns = {tuple(r[0]): int(r[1]) for r in sums if r[1]}
     total = largest_total(patterns, shares, repeats) if total_tokens is None else total_tokens
