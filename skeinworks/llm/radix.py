@@ -131,13 +131,13 @@ def merge_histograms(*summaries: DataFrame) -> DataFrame:
 
 
 def _ranked(cells: DataFrame, by: list[str], order: str, permille: Sequence[int]) -> DataFrame:
-    """Adds ``total`` and ``hits``: the percentiles whose rank falls into the row, with the rank inside it."""
+    """Adds ``total`` and, for each percentile whose rank falls into the row, ``r<permille>``: the rank inside it."""
     group = Window.partitionBy(*by)
     upto = F.sum("n").over(group.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
     ranked = cells.withColumns({"total": F.sum("n").over(group), "upto": upto})
     rank = lambda q: F.greatest(F.lit(1), F.floor((F.col("total") * q + 999) / 1000)).cast("long")
-    hits = F.filter(F.array(*[F.struct(F.lit(q).alias("q"), (rank(q) - (F.col("upto") - F.col("n"))).alias("r")) for q in permille]), lambda x: (x["r"] > 0) & (x["r"] <= F.col("n")))
-    return ranked.withColumn("hits", hits)
+    inside = lambda q: rank(q) - (F.col("upto") - F.col("n"))
+    return ranked.withColumns({f"r{q}": F.when((inside(q) > 0) & (inside(q) <= F.col("n")), inside(q)) for q in permille})
 
 
 def percentiles_of(cells: DataFrame, permille: Sequence[int]) -> DataFrame:
@@ -150,11 +150,11 @@ def percentiles_of(cells: DataFrame, permille: Sequence[int]) -> DataFrame:
     """
     both = cells.repartition("k", "m").select("k", "m", "c", "n", "lo", "hi", F.explode(F.array(F.struct(F.lit(0).alias("level"), "g"), F.struct(F.lit(1).alias("level"), F.lit(None).cast("long").alias("g")))).alias("x"))
     merged = both.select("k", "m", "c", "n", "lo", "hi", "x.level", "x.g").groupBy("k", "m", "level", "g", "c").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    ranked = _ranked(merged, ["k", "m", "level", "g"], "c", permille).where(F.size("hits") > 0)
+    ranks = [f"r{q}" for q in permille]
+    ranked = _ranked(merged, ["k", "m", "level", "g"], "c", permille).where(F.coalesce(*ranks).isNotNull())
     middle = (F.col("lo").cast("double") + F.col("hi").cast("double")) / 2
-    known = F.transform("hits", lambda x: x["q"])
-    wide = [F.max(F.when(F.array_contains(known, q), middle)).alias(f"q{q}") for q in permille]
-    left = F.collect_list(F.when(F.col("lo") < F.col("hi"), F.struct("c", "hits", ((F.col("hi").cast("double") - F.col("lo")) / 2).alias("bound"))))
+    wide = [F.max(F.when(F.col(f"r{q}").isNotNull(), middle)).alias(f"q{q}") for q in permille]
+    left = F.collect_list(F.when(F.col("lo") < F.col("hi"), F.struct("c", *ranks, ((F.col("hi").cast("double") - F.col("lo")) / 2).alias("bound"))))
     return ranked.groupBy("k", "m", "level", "g").agg(F.first("total").alias("n"), *wide, left.alias("left"))
 
 
@@ -178,7 +178,7 @@ def radix_percentiles(df: DataFrame, entity: str, part: str | None, values: Sequ
     bound = F.coalesce(F.array_max(F.transform("left", lambda x: x["bound"])), F.lit(0.0))
     if exact:
         first = stage(first)
-        open_ = first.where(F.size("left") > 0).select("k", "m", "level", "g", F.explode("left").alias("x")).select("k", "m", "level", "g", "x.c", "x.hits")
+        open_ = first.where(F.size("left") > 0).select("k", "m", "level", "g", F.explode("left").alias("x")).select("k", "m", "level", "g", "x.c", *[f"x.r{q}" for q in permille])
         followed = _follow(read, measures, open_, permille)
         names = ["k", "m", "level", "g"]
         keys = [F.col(f"a.{x}").eqNullSafe(F.col(f"b.{x}")) for x in names]
@@ -215,6 +215,5 @@ def _follow(read: DataFrame, measures: int, open_: DataFrame, permille: Sequence
     condition = F.lit(True)
     for x in names:
         condition = condition & F.col(f"a.{x}").eqNullSafe(F.col(f"b.{x}"))
-    met = upto.alias("a").join(open_.alias("b").hint("merge"), condition).select(*[f"a.{x}" for x in names], F.col("a.v").cast("double").alias("v"), F.filter("b.hits", lambda x: (x["r"] > F.col("a.upto") - F.col("a.n")) & (x["r"] <= F.col("a.upto"))).alias("hits")).where(F.size("hits") > 0)
-    known = F.transform("hits", lambda x: x["q"])
-    return met.groupBy("k", "m", "level", "g").agg(*[F.max(F.when(F.array_contains(known, q), F.col("v"))).alias(f"q{q}") for q in permille])
+    met = upto.alias("a").join(open_.alias("b").hint("merge"), condition).select(*[f"a.{x}" for x in names], *[F.when((F.col(f"b.r{q}") > F.col("a.upto") - F.col("a.n")) & (F.col(f"b.r{q}") <= F.col("a.upto")), F.col("a.v").cast("double")).alias(f"q{q}") for q in permille])
+    return met.groupBy("k", "m", "level", "g").agg(*[F.max(f"q{q}").alias(f"q{q}") for q in permille])
