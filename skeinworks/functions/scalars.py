@@ -78,7 +78,7 @@ def _byte(c: Column) -> Column:
     return F.when(n > 127, n - 256).otherwise(n).cast("byte")
 
 
-#: Type name in a side-car file to codec; further types may be added.
+# Type names and sizes of the record format. Further types may be added.
 CODECS: dict[str, Codec] = {
     "IoBoolean": Codec("boolean", 1, "u1", lambda c: c.cast("boolean")),
     "IoByte": Codec("tinyint", 1, "i1", _byte),
