@@ -163,14 +163,19 @@ def column_profile(df: DataFrame, part: str, numbers: Sequence[str] = (), dates:
     )
 
 
-#: Least difference of a share, and of a distribution, that makes a case; and how many
-#: robust standard deviations of the loads it must be besides.
+#: Differences of a share, and of a whole distribution, that make a case in a load of any
+#: size; and how many robust standard deviations of the loads it must be besides.
 SHARE_STEP, SHAPE_STEP, DEVIATIONS = 0.08, 0.15, 6.0
+#: Least difference that makes a case in a load large enough for it to be no chance, which
+#: is so many standard errors and rows: of a share, of a level, and of an end (rows of one channel go together).
+FLOOR, SHARE_CHANCE, LEVEL_CHANCE, END_CHANCE = 0.04, (6.0, 4.0), (8.0, 40.0), (8.0, 15.0)
 _LEVELS = 32
+#: Levels at the ends of a distribution, where few values of an ordinary load lie.
+_ENDS = (0.002, 0.005, 0.01, 0.02, 0.98, 0.99, 0.995, 0.998)
 
 
 def _shares(counts: DataFrame, months: DataFrame, dates: Sequence[str], low_day: int, high_day: int) -> DataFrame:
-    """(``column``, ``part``, ``what``, ``x``): the shares that are compared over the loads."""
+    """(``column``, ``part``, ``what``, ``x``, ``n``): the shares that are compared over the loads, and of how many rows."""
     total = counts.groupBy("column", "part").agg(F.sum("n").alias("n_all"))
     kinds = counts.join(F.broadcast(months) if fits_broadcast(months, 100_000) else months, "part", "left")
     day = F.col("cell")
@@ -182,40 +187,55 @@ def _shares(counts: DataFrame, months: DataFrame, dates: Sequence[str], low_day:
         .otherwise("inside")
     )
     classes = kinds.groupBy("column", "part", where.alias("what")).agg(F.sum("n").alias("n"))
-    # The heaviest cell that holds one repeated value: of zero and NaN the class itself speaks.
-    heaviest = counts.where("class IN ('positive', 'negative', 'day')").groupBy("column", "part").agg(F.max("n").alias("n")).withColumn("what", F.lit("repeated"))
-    both = classes.unionByName(heaviest)
-    names = counts.select("column", "part").distinct().join(F.broadcast(both.select("column", "what").distinct()), "column")
-    return names.join(both, ["column", "part", "what"], "left").join(total, ["column", "part"]).select("column", "part", "what", (F.coalesce("n", F.lit(0)) / F.col("n_all")).alias("x"))
+    # The cell that holds most beyond its usual share: of zero and NaN the class itself speaks.
+    heavy = counts.where("class IN ('positive', 'negative', 'day')").join(total, ["column", "part"]).withColumn("share", F.col("n") / F.col("n_all"))
+    lists = heavy.groupBy("column", "class", "cell").agg(F.sort_array(F.collect_list("share"), asc=False).alias("xs"))  # at most as long as there are loads
+    loads = counts.groupBy("column").agg(F.countDistinct("part").alias("n_loads"))
+    usual = lists.join(F.broadcast(loads), "column").select("column", "class", "cell", F.coalesce(F.get("xs", F.expr("int(n_loads div 2)")), F.lit(0.0)).alias("u"))
+    heaviest = heavy.join(usual, ["column", "class", "cell"]).groupBy("column", "part").agg(F.max(F.col("share") - F.col("u")).alias("x")).withColumn("what", F.lit("repeated"))
+    names = counts.select("column", "part").distinct().join(F.broadcast(classes.select("column", "what").distinct()), "column")
+    shares = names.join(classes, ["column", "part", "what"], "left").join(total, ["column", "part"]).select("column", "part", "what", (F.coalesce("n", F.lit(0)) / F.col("n_all")).alias("x"), F.col("n_all").alias("n"))
+    repeated = total.join(heaviest, ["column", "part"], "left").select("column", "part", F.lit("repeated").alias("what"), F.greatest(F.coalesce("x", F.lit(0.0)), F.lit(0.0)).alias("x"), F.col("n_all").alias("n"))
+    return shares.unionByName(repeated)
 
 
 def _shapes(counts: DataFrame, classes: Sequence[str]) -> DataFrame:
-    """(``column``, ``part``, ``what``, ``x``): the greatest distance of each load's distribution from the usual one.
+    """(``column``, ``part``, ``what``, ``x``, ``n``): each load's distribution, and of how many values.
 
-    The usual distribution function is, at each of ``_LEVELS`` cells chosen by the
-    pooled counts, the median over the loads.
+    ``distribution`` is its greatest distance from the usual one, which is, at each of
+    ``_LEVELS`` cells chosen by the pooled counts, the median over the loads.
+    ``distribution i`` and ``range i`` are its values at these levels and at those of
+    ``_ENDS``; ``range below`` and ``range above`` the shares outside the usual extrema.
     """
     values = counts.where(F.col("class").isin(*classes))
     pooled = values.groupBy("column", "cell").agg(F.sum("n").alias("n"))
     group = Window.partitionBy("column")  # at most as many rows as there are cells
-    level = F.ceil(F.sum("n").over(group.orderBy("cell")) * _LEVELS / F.sum("n").over(group))
-    bins = pooled.select("column", "cell", level.cast("int").alias("bin"))
-    binned = values.join(bins, ["column", "cell"]).groupBy("column", "part").agg(F.sum("n").alias("n_all"), *[F.sum(F.when(F.col("bin") <= i, F.col("n")).otherwise(0)).alias(f"b{i}") for i in range(1, _LEVELS)])
-    curve = binned.select("column", "part", F.posexplode(F.array(*[F.col(f"b{i}") / F.col("n_all") for i in range(1, _LEVELS)])).alias("i", "y"))
-    usual = curve.groupBy("column", "i").agg(F.percentile_approx("y", 0.5, 10_000).alias("u"))
-    return curve.join(usual, ["column", "i"]).groupBy("column", "part").agg(F.max(F.abs(F.col("y") - F.col("u"))).alias("x")).withColumn("what", F.lit("distribution")).select("column", "part", "what", "x")
+    places = [(f"distribution {i}", i / _LEVELS) for i in range(1, _LEVELS)] + [(f"range {q}", q) for q in _ENDS]
+    below = pooled.select("column", "cell", (F.sum("n").over(group.orderBy("cell")) / F.sum("n").over(group)).alias("q"))
+    ends = values.groupBy("column", "part").agg(F.min("cell").alias("least"), F.max("cell").alias("most")).groupBy("column").agg(F.percentile_approx("least", 0.5, 10_000).alias("least"), F.percentile_approx("most", 0.5, 10_000).alias("most"))
+    binned = values.join(below, ["column", "cell"]).join(F.broadcast(ends), "column")
+    within = [*[(what, F.col("q") <= q) for what, q in places], ("range below", F.col("cell") < F.col("least")), ("range above", F.col("cell") > F.col("most"))]
+    sums = binned.groupBy("column", "part").agg(F.sum("n").alias("n_all"), *[F.sum(F.when(c, F.col("n")).otherwise(0)).alias(f"b{i}") for i, (_, c) in enumerate(within)])
+    curve = sums.select("column", "part", F.col("n_all").alias("n"), F.explode(F.array(*[F.struct(F.lit(what).alias("what"), (F.col(f"b{i}") / F.col("n_all")).alias("x")) for i, (what, _) in enumerate(within)])).alias("y")).select("column", "part", "y.what", "y.x", "n")
+    middle = curve.where("what LIKE 'distribution %'")
+    usual = middle.groupBy("column", "what").agg(F.percentile_approx("x", 0.5, 10_000).alias("u"))
+    whole = middle.join(usual, ["column", "what"]).groupBy("column", "part").agg(F.max(F.abs(F.col("x") - F.col("u"))).alias("x"), F.first("n").alias("n")).withColumn("what", F.lit("distribution"))
+    return curve.unionByName(whole)
 
 
 def unlike_loads(df: DataFrame, part: str, loaded_at: str, numbers: Sequence[str], dates: Sequence[str], calendar: DataFrame, calendar_day: str = "date") -> DataFrame:
     """(part, ``column_name``, ``reasons``): the loads in which a column is not like in the others.
 
     Compared over all loads are the shares of null, NaN, negative, zero and positive
-    values and of the most repeated one, the distribution of the positive values, and
-    for dates the shares of days within the load's month (the one before its first
-    ``loaded_at``), before, after and outside the calendar.
-    A load stands out when a figure is further from the median of the loads than both
-    a fixed step (``SHARE_STEP``, ``SHAPE_STEP``) and ``DEVIATIONS`` robust standard
-    deviations (1.4826 x median absolute deviation).
+    values and of the one most repeated beyond its usual share, the distribution of the
+    positive values (as a whole, at each of its levels, and at its ends and beyond the
+    usual extrema: reason ``range``), and for dates the shares of days within the load's
+    month (the one before its first ``loaded_at``), before, after and outside the calendar.
+    A load stands out when a figure is further from the median of the loads than
+    ``DEVIATIONS`` robust standard deviations (1.4826 x median absolute deviation) and
+    than a step: ``FLOOR``, or what chance allows in a load of its size if that is more
+    (for shares at most ``SHARE_STEP``); ``SHARE_STEP`` for a date's place by the month,
+    as how much comes late changes over time; ``SHAPE_STEP`` for a distribution as a whole.
 
     Rows without part belong to no load.  A column that is null in every load is like
     itself.  An empty table, or a single load, gives no case.  Repeated rows count.
@@ -235,6 +255,13 @@ def unlike_loads(df: DataFrame, part: str, loaded_at: str, numbers: Sequence[str
     middle = figures.groupBy("column", "what").agg(F.percentile_approx("x", 0.5, 10_000).alias("m"))
     spread = figures.join(F.broadcast(middle), ["column", "what"]).withColumn("gap", F.abs(F.col("x") - F.col("m")))
     usual = spread.groupBy("column", "what").agg((F.percentile_approx("gap", 0.5, 10_000) * 1.4826).alias("sd"))
-    step = F.when(F.col("what") == "distribution", SHAPE_STEP).otherwise(SHARE_STEP)
-    odd = spread.join(F.broadcast(usual), ["column", "what"]).where((F.col("gap") >= step) & (F.col("gap") >= F.col("sd") * DEVIATIONS))
+    chance = lambda errors, rows: F.greatest(F.lit(FLOOR), errors * F.sqrt(F.col("m") * (1 - F.col("m")) / F.col("n")) + rows / F.col("n"))
+    step = (
+        F.when(F.col("what") == "distribution", SHAPE_STEP)
+        .when(F.col("what").startswith("distribution"), chance(*LEVEL_CHANCE))
+        .when(F.col("what").startswith("range"), chance(*END_CHANCE))
+        .when(F.col("what").isin("inside", "earlier", "later"), SHARE_STEP)  # how much comes late is not the same all along
+        .otherwise(F.least(F.lit(SHARE_STEP), chance(*SHARE_CHANCE)))
+    )
+    odd = spread.join(F.broadcast(usual), ["column", "what"]).where((F.col("gap") >= step) & (F.col("gap") >= F.col("sd") * DEVIATIONS)).withColumn("what", F.substring_index("what", " ", 1))
     return odd.groupBy(F.col("part").alias(part), F.col("column").alias("column_name")).agg(F.array_sort(F.collect_set("what")).alias("reasons"))

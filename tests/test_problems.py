@@ -238,6 +238,22 @@ def test_unlike_loads_edges(spark):
     assert profile.unlike_loads(nulls, "load", "at", ["q"], ["d"], calendar).collect() == []
 
 
+def test_unlike_loads_tenth(spark):
+    """A case may touch as little as a tenth of a load's rows."""
+    cases = {1: (0.1, lambda q: q * 1000), 3: (0.15, lambda q: q * 10), 5: (0.15, lambda q: q / 1000), 7: (0.1, lambda q: 9999.0), 9: (0.1, lambda q: None), 11: (0.12, lambda q: -q)}
+    rng, rows = random.Random(5), []
+    for load in range(16):
+        at, size = dt.datetime(2021 + (load + 1) // 12, (load + 1) % 12 + 1, 2), 2500
+        share, change = cases.get(load, (0, None))
+        for i in range(size):
+            q = float(round(rng.lognormvariate(4, 1.2)) + 1)
+            rows.append((load, at, D(2021 + load // 12, load % 12 + 1, rng.randrange(1, 28)), change(q) if i < share * size else q, "ab"))
+    calendar = spark.createDataFrame(CALENDAR, "date date")
+    got = {(r["load"], r["column_name"]): r["reasons"] for r in profile.unlike_loads(_table(spark, rows), "load", "at", ["q"], ["d"], calendar).collect()}
+    assert set(got) == {(load, "q") for load in cases}
+    assert "range" in got[1, "q"] and "range" in got[5, "q"] and "repeated" in got[7, "q"]
+
+
 def test_profile_agrees_with_scan(spark, tmp_path):
     def odd(r, rng):
         if r[0] == 2:
