@@ -3,7 +3,9 @@
 Every distinct clean word of the corpus is written and read through all chains of
 encodings, which gives a table of garbled forms.  The distinct tokens of the corpus
 are hash-joined with it; a token that is the garbled form of a word more common than
-itself is garbled, and the word is its original.  Beside the words the table has the
+itself is garbled, and the word is its original.  Common is what many distinct texts
+have, copies counting once; and whatever the counts, a text in which one chain explains
+several tokens that no intact text has is read wrongly.  Beside the words the table has the
 distinct characters of the clean words (for chains that write UTF-8, whose forms are
 several characters long and so unmistakable), which reach words that occur nowhere
 intact.
@@ -28,6 +30,10 @@ OPENING, CLOSING, BETWEEN = "“‘„«‹¿¡—–♪•(", "”’»›…
 SIGNS = "’‘“”„«»‹›…—–¿¡♪♫©®™°£€§№ ﻿"
 
 LOST = "�"
+#: What a distinct text counts beside a row that repeats it: copies are no evidence.
+TEXT = 1 << 30
+#: Tokens no intact text has that one chain must explain for a text to be taken as read wrongly.
+COHERENT = 2
 #: Rows up to which the table of garbled tokens is broadcast instead of shuffled.
 BROADCAST_ROWS = 20_000
 #: A run of ASCII letters and digits and of anything beyond ASCII, with at least one of the latter.
@@ -117,9 +123,16 @@ def impossible(token: str) -> bool:
     return LOST in token or any("\x80" <= c <= "\x9f" for c in token)
 
 
-def token_counts(df: DataFrame, text: str) -> DataFrame:
-    """(``token``, ``n_docs``): tokens with a character beyond ASCII and the rows they stand in."""
-    return df.select(F.explode(F.array_distinct(F.regexp_extract_all(quoted(text).cast("string"), F.lit(TOKEN), F.lit(0)))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n_docs"))
+def text_tokens(df: DataFrame, text: str) -> DataFrame:
+    """(``h``, ``tokens``, ``n_rows``): the distinct tokens with a character beyond ASCII of each distinct text, and its rows."""
+    t = quoted(text).cast("string")
+    return df.select(F.xxhash64(t).alias("h"), F.array_distinct(F.regexp_extract_all(t, F.lit(TOKEN), F.lit(0))).alias("tokens")).where("size(tokens) > 0").groupBy("h").agg(F.first("tokens").alias("tokens"), F.count(F.lit(1)).alias("n_rows"))
+
+
+def token_counts(texts: DataFrame) -> DataFrame:
+    """(``token``, ``n_docs``): the tokens and the distinct texts they stand in, times ``TEXT``, plus the rows, which decide between equals."""
+    weight = F.count(F.lit(1)) * TEXT + F.sum("n_rows")
+    return texts.select(F.explode("tokens").alias("token"), "n_rows").groupBy("token").agg(weight.alias("n_docs"))
 
 
 def _core(token: str) -> str:
@@ -127,7 +140,7 @@ def _core(token: str) -> str:
 
 
 def clean_words(tokens: DataFrame) -> DataFrame:
-    """(``word``, ``n``): words of the tokens that look intact, with the rows they stand in.
+    """(``word``, ``n``): words of the tokens that look intact, with the texts they stand in.
 
     Words with an apostrophe inside come as a whole too, so that a garbled apostrophe
     is found by its word.
@@ -199,10 +212,26 @@ def undo_characters(token: str, forms: dict[str, str], longest: int) -> tuple[st
     return "".join(out), hits
 
 
+def coherent_forms(texts: DataFrame, parts: DataFrame, forms: DataFrame) -> DataFrame:
+    """(``part``, ``chain``, ``looks_clean``): forms that other tokens of their texts confirm, however common they are.
+
+    A text in which one chain explains ``COHERENT`` tokens that no intact text has is
+    read wrongly.  In it the chain's other forms are garbled too, those that look like
+    intact words if they stand in such texts for the most part.
+    """
+    places = forms.where(~F.contains("part", F.lit(LOST))).select("part", "chain", "own").distinct().join(parts.select("token", "part", "looks_clean"), "part")
+    side = F.broadcast(places) if fits_broadcast(places, BROADCAST_ROWS) else places
+    seen = stage(texts.select("h", F.explode("tokens").alias("token")).join(side, "token"))
+    wrong = seen.where("NOT looks_clean").groupBy("h", "chain").agg(F.countDistinct("part").alias("n")).where(F.col("n") >= COHERENT).select("h", "chain")
+    within = seen.join(wrong, ["h", "chain"]).groupBy("part", "chain", "looks_clean").agg(F.countDistinct("h").alias("n_texts"), F.max("own").alias("own"))
+    return within.where(f"NOT looks_clean OR own < n_texts * {2 * TEXT}").select("part", "chain", "looks_clean")
+
+
 def garbled_tokens(df: DataFrame, text: str) -> DataFrame:
     """(``token``, ``original``, ``chain``): the garbled tokens; ``original`` is null if unknown."""
     df = only(df, text)
-    tokens = stage(token_counts(df, text))
+    texts = stage(text_tokens(df, text))
+    tokens = stage(token_counts(texts))
     words = stage(clean_words(tokens))
     characters, known = character_forms(words, tokens)
     longest = max(map(len, characters))
@@ -218,22 +247,29 @@ def garbled_tokens(df: DataFrame, text: str) -> DataFrame:
                 else:
                     undone, hits = undo_characters(token, characters, longest)
                     if hits and all(c in known for c in undone if c > "\x7f"):
-                        rows.append((token, n, None, undone, "utf-8 characters"))
+                        rows.append((token, n, None, None, undone, "utf-8 characters"))
                         continue
                     if impossible(token):
-                        rows.append((token, n, None, None, "lost"))
+                        rows.append((token, n, None, None, None, "lost"))
                     parts |= {token, token.strip(OPENING + CLOSING), *_beside.split(token)}
-                rows += [(token, n, p, None, None) for p in parts if len(p) > 1 and not p.isascii()]
-            yield pd.DataFrame(rows, columns=["token", "n_docs", "part", "original", "chain"])
+                rows += [(token, n, p, clean_pieces(p) is not None, None, None) for p in parts if len(p) > 1 and not p.isascii()]
+            yield pd.DataFrame(rows, columns=["token", "n_docs", "part", "looks_clean", "original", "chain"])
 
-    split = stage(tokens.mapInPandas(candidates, "token string, n_docs bigint, part string, original string, chain string"))
+    split = stage(tokens.mapInPandas(candidates, "token string, n_docs bigint, part string, looks_clean boolean, original string, chain string"))
     direct = split.where("part IS NULL").select("token", "original", "chain", F.lit(0).alias("size"))
-    parts = split.where("part IS NOT NULL").select("token", "n_docs", "part")
-    changed = (
+    parts = split.where("part IS NOT NULL").select("token", "n_docs", "part", "looks_clean")
+    forms = stage(
         parts.groupBy("part")
         .agg(F.sum("n_docs").alias("own"))
         .join(form_table(words).withColumnRenamed("form", "part").hint("merge"), "part")  # its size grows with the corpus: never broadcast
-        .where("n > own")
+    )
+    confirmed = stage(coherent_forms(texts, parts, forms))
+    # A word that is itself such a form is nobody's original: else the sense turns round where garbled texts are many.
+    garbled_words = confirmed.where("looks_clean").select(F.col("part").alias("original")).distinct()
+    changed = (
+        forms.join(confirmed.select("part", "chain", F.lit(True).alias("coherent")), ["part", "chain"], "left")
+        .where("n > own OR coherent")
+        .join(garbled_words, "original", "left_anti")
         .groupBy("part")
         .agg(F.max_by(F.struct("original", "chain"), F.struct("n", "original")).alias("best"), F.countDistinct("original").alias("ways"))
     )

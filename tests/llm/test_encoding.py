@@ -50,6 +50,20 @@ def test_edges(spark):
     assert {r["token"] for r in encoding.affected(df, "token", "text").collect()} == {1000, 1001}
 
 
+MANY = "Почему портной Алексей вчера купил Ивану четыре окна"
+
+
+@pytest.mark.parametrize("tail", ["", " {i}"])
+@pytest.mark.parametrize("chain", [("cp1251", "cp1252"), ("koi8-r", "cp1251")])
+def test_garbled_more_often_than_intact(spark, tail, chain):
+    """Copies of a wrongly read text, equal or each its own, outnumber the intact ones."""
+    wrong = [(i, garble(MANY, *chain) + tail.format(i=i)) for i in range(40)]
+    df = spark.createDataFrame([*wrong, (100, MANY), (101, MANY + " 1"), (102, "Это моя книга")], "doc_id long, text string")
+    assert {r["doc_id"] for r in encoding.affected(df, "doc_id", "text").collect()} == set(range(40))
+    back = {r["doc_id"]: r["restored_text"] for r in encoding.restored(df, "doc_id", "text").collect()}
+    assert back == {i: MANY + tail.format(i=i) for i in range(40)}
+
+
 @pytest.mark.parametrize("word", ["café", "КНИГА", "Straße", "łódkę"])
 def test_plain(word):
     assert encoding.plain_word(word) and encoding.garbled_forms(word) and word not in encoding.garbled_forms(word)
