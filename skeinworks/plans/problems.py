@@ -41,6 +41,15 @@ def p3_profile(spark: SparkSession, d: str) -> DataFrame:
     return done.select("column", "load_id", "n_rows", *[F.round(c, 6).alias(c) for c in ("null_share", "nan_share", "negative_share", "zero_share")], "lowest", "highest", "n_violations")
 
 
+#: Every column of caven20 by kind: numbers, dates, texts with their pattern.
+_ALL_COLUMNS = (["row_id", "load_id", "deliver_qty", "return_qty"], ["date", "loaded_at"], {"channel": CHANNEL})
+
+
+def p3_distinct(spark: SparkSession, d: str) -> DataFrame:
+    """The whole profile of every column and load, with approximate distinct values."""
+    return profile.column_profile(read_table(spark, d, "caven20"), "load_id", *_ALL_COLUMNS)
+
+
 def p4_trailing(spark: SparkSession, d: str) -> DataFrame:
     return trailing.trailing_totals(read_table(spark, d, "caven20"), "channel", "date", ["deliver_qty", "return_qty"], (7, 30), calendar=read_table(spark, d, "calendar_days"))
 
@@ -79,7 +88,7 @@ def p6_rejects(spark: SparkSession, d: str) -> DataFrame:
     return badrows.rejected_records(_records(spark, d), _LINE)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_channel_totals, p3_found, p3_unlike, p3_profile, p4_trailing_rounded, p5_found, p5_regular, p5_weekly, p6_found, p6_valid, p6_rejects)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_channel_totals, p3_found, p3_unlike, p3_profile, p3_distinct, p4_trailing_rounded, p5_found, p5_regular, p5_weekly, p6_found, p6_valid, p6_rejects)}
 
 _READINGS = """k AS (SELECT trim(channel, ' ') AS channel, date, CASE WHEN NOT isnan(deliver_qty) THEN CAST(deliver_qty AS DOUBLE) END AS deliver_qty,
     CASE WHEN NOT isnan(return_qty) THEN CAST(return_qty AS DOUBLE) END AS return_qty

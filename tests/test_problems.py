@@ -10,7 +10,9 @@ import pyarrow.parquet as pq
 import pytest
 
 from skeinworks.operators import badrows, heavykeys, profile, regular, trailing
+from skeinworks.plans import problems
 from skeinworks.sources.chunks import chunks_of
+from tests.support import DATA, database
 
 D = dt.date
 
@@ -274,6 +276,16 @@ def test_profile_agrees_with_scan(spark, tmp_path):
     assert {r["load"] for r in profile.column_profile(filtered, *args).collect()} == {0, 1, 2}
 
 
+def test_registered_distinct(spark):
+    """All columns of caven20 per load, against exact counts: 4 standard deviations of 5 %."""
+    db = database()
+    columns = [r[0] for r in db.sql("DESCRIBE caven20").fetchall()]
+    want = {(c, load): n for c in columns for load, n in db.sql(f"SELECT load_id, count(DISTINCT {c}) FROM caven20 GROUP BY 1").fetchall()}
+    got = {(r["column"], r["load_id"]): r["n_distinct"] for r in problems.QUERIES["p3_distinct"](spark, DATA).collect()}
+    assert got.keys() == want.keys()
+    assert all(abs(got[k] - n) <= max(1, 0.2 * n) for k, n in want.items())
+
+
 def test_dictionary_pages(tmp_path):
     t = pa.table({"p": pa.array([1] * 6 + [2] * 4, pa.int32()), "v": pa.array([1.5, None, 2.5, 1.5, 1.5, 1.5, 9.0, 9.0, 9.0, 9.0], pa.float32()), "s": ["a", "b", "a", "a", "a", "a", "c", "c", "c", "c"]})
     for codec in ("snappy", "none", "zstd", "gzip"):
