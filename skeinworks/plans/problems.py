@@ -88,7 +88,7 @@ def p6_rejects(spark: SparkSession, d: str) -> DataFrame:
     return badrows.rejected_records(_records(spark, d), _LINE)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_channel_totals, p3_found, p3_unlike, p3_profile, p3_distinct, p4_trailing_rounded, p5_found, p5_regular, p5_weekly, p6_found, p6_valid, p6_rejects)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_channel_totals, p3_found, p3_unlike, p3_profile, p3_distinct, p4_trailing, p4_trailing_rounded, p5_found, p5_regular, p5_weekly, p6_found, p6_valid, p6_rejects)}
 
 _READINGS = """k AS (SELECT trim(channel, ' ') AS channel, date, CASE WHEN NOT isnan(deliver_qty) THEN CAST(deliver_qty AS DOUBLE) END AS deliver_qty,
     CASE WHEN NOT isnan(return_qty) THEN CAST(return_qty AS DOUBLE) END AS return_qty

@@ -92,6 +92,18 @@ def test_trailing_edges(spark):
         trailing.trailing_totals(empty, "c", "d", ["v"], [0])
 
 
+def test_registered_trailing(spark):
+    """Unrounded, against the same SQL without its rounding, to the order of summation."""
+    sql = problems.ORACLE["p4_trailing_rounded"].replace("round(", "(").replace(", 0) + 0 AS", ") AS")
+    want = database().sql(f"SELECT * FROM ({sql})")
+    names = want.columns
+    want = {r[:2]: r[2:] for r in want.fetchall()}
+    got = {(r["channel"], r["date"]): [r[c] for c in names[2:]] for r in problems.QUERIES["p4_trailing"](spark, DATA).collect()}
+    assert got.keys() == want.keys()
+    assert all(math.isclose(x, y, rel_tol=1e-9, abs_tol=1e-6) for k, w in want.items() for x, y in zip(got[k], w))
+    assert any(0 < x < 0.5 for w in got.values() for x in w)
+
+
 # ---- regular series
 
 
