@@ -140,6 +140,8 @@ def parse_bulk(lines: pa.Array, layout: RecordLayout) -> tuple[pa.Array, pa.Arra
     else:
         if not _all(pc.match_substring_regex(lines, _CSV_SHAPE)):
             return None
+        if pc.any(pc.match_substring_regex(lines, "[\r\n]"), min_count=0).as_py():  # the reader would take them for line ends
+            return None
         text = ("\n".join(lines.to_pylist()) + "\n").encode()
         try:
             table = pcsv.read_csv(

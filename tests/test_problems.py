@@ -177,6 +177,14 @@ def test_bulk_never_accepts_more(spark):
             assert [c[1].as_py() for c in bulk][1:] == list(s[1:4]), line
 
 
+@pytest.mark.parametrize("end", ["\r", "\n", "\r\n"])
+def test_line_end_in_record(spark, end):
+    good = "2021-01-02,a,1,2"
+    assert badrows.parse_bulk(pa.array([good, good + end]), badrows.CSV) is None and strict(good + end)[4] == "invalid return_qty"
+    df = spark.createDataFrame([(i, "csv", good + end * (i == 50)) for i in range(200)], "line_id long, layout string, raw_line string").coalesce(1)
+    assert [r["line_id"] for r in badrows.rejected_records(badrows.parse_records(df, "raw_line", "layout", ("line_id",)), ("line_id",)).collect()] == [50]
+
+
 def test_records_whole(spark):
     fwf = "2021-01-02" + "a".ljust(74) + "1.5".ljust(40) + "".ljust(40)
     rows = [(i, "f", 2, "csv", "2021-01-02,a,1,") for i in range(700)] + [(700, "f", 2, "csv", "x"), (701, "f", 2, "fwf", fwf), (702, "f", 2, "fwf", fwf[:-1]), (703, "f", 2, None, "y"), (704, "f", 2, "csv", None), (705, "f", 2, "csv", "2021-01-02," + "z" * 200_000 + ",1,1")]
