@@ -405,6 +405,15 @@ def transpose_long(spark, d):
     return reshape.transpose_cells(wide, [f"e{i}" for i in range(4)])
 
 
+@query("SELECT pos - 1 AS pos, vec_id AS at, CAST(embedding[pos] AS DOUBLE) AS value FROM embeddings, generate_series(1, len(embedding)) g(pos)")
+def transpose_long_all(spark, d):
+    """``transpose_long`` over all positions the data has."""
+    e = rows.numbered_by(read_table(spark, d, "embeddings"), "vec_id")
+    names = [f"e{i}" for i in range(e.agg(F.max(F.size("embedding"))).first()[0] or 0)]
+    wide = e.select(ROW, *[F.get("embedding", F.lit(i)).cast("double").alias(n) for i, n in enumerate(names)])
+    return reshape.transpose_cells(wide, names)
+
+
 @query("SELECT p - 1 AS pos, CAST(sum(CAST(CAST(embedding[p] AS DOUBLE) * 1000 AS BIGINT)) AS BIGINT) AS total FROM embeddings, generate_series(1, len(embedding)) g(p) GROUP BY p")
 def transpose_arrays(spark, d):
     e = rows.numbered_by(read_table(spark, d, "embeddings"), "vec_id")

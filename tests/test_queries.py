@@ -24,3 +24,10 @@ def test_query(spark, db, name):
 
 def test_oracle_names():
     assert set(ORACLE) <= set(QUERIES)
+
+
+def test_transpose_whole(spark, db):
+    """Every position of every embedding comes out."""
+    n, total = db.sql("SELECT max(len(embedding)), sum(len(embedding)) FROM embeddings").fetchall()[0]
+    done = QUERIES["transpose_long_all"](spark, DATA)
+    assert {r["pos"] for r in done.select("pos").distinct().collect()} == set(range(n)) and done.count() == total
