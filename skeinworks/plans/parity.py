@@ -559,6 +559,20 @@ def sales_resample_pivot_sum(spark, d):
     return done.select("date", *[(F.round(F.col(f"`{label(m)}`"), 1) if label(m) in done.columns else F.lit(0.0)).alias(f"amount_{i}") for i, m in enumerate(("CASH", "CARD"))])
 
 
+_MODES = ("?", "ACCT", "CARD", "CASH", "VOUCH")
+
+
+@query("""WITH days AS (SELECT CAST(unnest(generate_series(min(CAST(date AS TIMESTAMP)), max(CAST(date AS TIMESTAMP)), INTERVAL 1 DAY)) AS DATE) AS date FROM superannuated1909)
+    SELECT date, """ + ", ".join(f"round(coalesce(sum(CASE WHEN transmode = '{m}' THEN CAST(amount AS DOUBLE) END), 0), 1) AS \"amount_{m}\"" for m in _MODES) + " FROM days LEFT JOIN superannuated1909 USING (date) GROUP BY date")
+def sales_resample_pivot_sum_all(spark, d):
+    """``sales_resample_pivot_sum`` over all values of transmode the data has; its SQL must list them."""
+    s = read_table(spark, d, "superannuated1909").select("date", "transmode", F.col("amount").cast("double").alias("amount")).where("date IS NOT NULL")
+    null_key = [] if s.where("transmode IS NULL").isEmpty() else ["null"]  # a kind of its own, unlike the null of added days
+    done = reshape.pivot_sum(reshape.resample_daily(s, "date"), ["date"], ["transmode"], ["amount"], drop_null_key=not null_key)
+    found = [c.removeprefix("[transmode=").removesuffix("]:amount") for c in done.columns if c != "date"]
+    return done.select("date", *[F.round(F.col(f"`[transmode={m}]:amount`"), 1).alias(f"amount_{m}") for m in sorted(found)])
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Resample, pivot, group and sum in one aggregation."""
     return flagship_resample_pivot_sum(spark, d)

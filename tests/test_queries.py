@@ -31,3 +31,10 @@ def test_transpose_whole(spark, db):
     n, total = db.sql("SELECT max(len(embedding)), sum(len(embedding)) FROM embeddings").fetchall()[0]
     done = QUERIES["transpose_long_all"](spark, DATA)
     assert {r["pos"] for r in done.select("pos").distinct().collect()} == set(range(n)) and done.count() == total
+
+
+def test_sales_whole(spark, db):
+    """Every amount comes out under its kind of payment, up to the rounding of each cell."""
+    want = dict(db.sql("SELECT transmode, sum(CAST(amount AS DOUBLE)) FROM superannuated1909 WHERE date IS NOT NULL GROUP BY 1").fetchall())
+    rows = QUERIES["sales_resample_pivot_sum_all"](spark, DATA).collect()
+    assert all(abs(sum(r[f"amount_{m}"] for r in rows) - x) <= 0.051 * len(rows) for m, x in want.items())
