@@ -13,6 +13,9 @@ from skeinworks.operators import badrows, heavykeys, profile, regular, trailing
 from skeinworks.session import read_table
 
 _LINE = ("line_id", "file_name", "line_no", "layout")
+_FIELDS_OF_LINE = tuple(badrows.Field(*x) for x in (("date", "date", True), ("channel", "text", True), ("deliver_qty", "float"), ("return_qty", "float")))
+#: The two layouts of caven20_lines, by their name there.
+LAYOUTS = {"csv": badrows.RecordLayout(_FIELDS_OF_LINE), "fwf": badrows.RecordLayout(_FIELDS_OF_LINE, ((0, 10), (10, 84), (84, 124), (124, 164)))}
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -73,7 +76,7 @@ def p5_weekly(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
-    return badrows.parse_records(badrows.without_headers(read_table(spark, d, "caven20_lines"), "line_no", "layout"), "raw_line", "layout", _LINE)
+    return badrows.parse_records(badrows.without_headers(read_table(spark, d, "caven20_lines"), "line_no", "layout"), "raw_line", "layout", LAYOUTS, _LINE)
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -103,11 +106,20 @@ _FIELDS = r"""fields AS (SELECT line_id, layout, raw_line,
       CASE WHEN layout = 'csv' THEN regexp_full_match(raw_line, '("([^"]|"")*"|[^",]*)(,("([^"]|"")*"|[^",]*)){3}') ELSE length(raw_line) = 164 END AS shaped,
       regexp_extract(raw_line, '^("(?:[^"]|"")*"|[^",]*),("(?:[^"]|"")*"|[^",]*),("(?:[^"]|"")*"|[^",]*),("(?:[^"]|"")*"|[^",]*)$', ['a', 'b', 'c', 'd']) AS f
       FROM caven20_lines WHERE NOT (line_no = 1 AND layout = 'csv')),
-    parts AS (SELECT line_id, shaped,
+    parts AS (SELECT line_id, layout, raw_line, shaped,
       CASE WHEN layout = 'csv' THEN [list_transform([f.a, f.b, f.c, f.d], lambda x: trim(CASE WHEN x[1] = '"' THEN replace(x[2:-2], '""', '"') ELSE x END, ' '))]
       ELSE [[trim(raw_line[1:10], ' '), trim(raw_line[11:84], ' '), trim(raw_line[85:124], ' '), trim(raw_line[125:164], ' ')]] END[1] AS p FROM fields),
-    judged AS (SELECT line_id, p, coalesce(shaped AND regexp_full_match(p[1], '[0-9]{4}-[0-9]{2}-[0-9]{2}') AND try_cast(p[1] AS DATE) IS NOT NULL AND p[2] <> ''
+    judged AS (SELECT line_id, layout, raw_line, shaped, p, coalesce(shaped AND regexp_full_match(p[1], '[0-9]{4}-[0-9]{2}-[0-9]{2}') AND try_cast(p[1] AS DATE) IS NOT NULL AND p[2] <> ''
       AND regexp_full_match(p[3], '([+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?)?') AND regexp_full_match(p[4], '([+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?)?'), false) AS ok FROM parts)"""
+_CELL = '("([^"]|"")*"|[^",]*)'
+_QTY = r"([+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?)?"
+_REASON = f"""CASE WHEN raw_line IS NULL THEN 'no record' WHEN layout = 'fwf' AND length(raw_line) <> 164 THEN 'length is not 164'
+      WHEN layout = 'csv' AND NOT regexp_full_match(raw_line, '{_CELL}(,{_CELL})*') THEN CASE
+        WHEN regexp_full_match(raw_line, '({_CELL},)*"([^"]|"")*') THEN 'unclosed quote'
+        WHEN regexp_matches(raw_line, '^({_CELL},)*"([^"]|"")*"[^",]') THEN 'text after closing quote' ELSE 'stray quote' END
+      WHEN layout = 'csv' AND NOT shaped THEN CASE WHEN len(string_split(regexp_replace(raw_line, '"([^"]|"")*"', '', 'g'), ',')) < 4 THEN 'too few fields' ELSE 'too many fields' END
+      WHEN NOT (regexp_full_match(p[1], '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AND try_cast(p[1] AS DATE) IS NOT NULL) THEN 'invalid date'
+      WHEN p[2] = '' THEN 'empty channel' WHEN NOT regexp_full_match(p[3], '{_QTY}') THEN 'invalid deliver_qty' ELSE 'invalid return_qty' END"""
 
 ORACLE = {
     "p2_found": "SELECT trim(channel, ' ') AS channel FROM caven20 WHERE channel IS NOT NULL GROUP BY 1 HAVING count(*) >= 0.02 * (SELECT count(*) FROM caven20)",
@@ -147,5 +159,6 @@ ORACLE = {
         CASE WHEN g.date < h.b THEN 1 ELSE 0 END AS held FROM grid g JOIN held h ON g.channel = h.channel AND g.date >= h.a AND g.date < h.z)
         SELECT channel, cell_start, CAST(sum(n) AS BIGINT) AS n_rows, round(sum(held) / count(*), 6) AS coverage, CASE WHEN sum(n) > 0 THEN 'observed' WHEN sum(held) > 0 THEN 'filled' ELSE 'missing' END AS state FROM days GROUP BY ALL""",
     "p6_found": f"WITH {_FIELDS} SELECT line_id FROM judged WHERE NOT ok",
+    "p6_rejects": f"""WITH {_FIELDS} SELECT line_id, file_name, line_no, layout, {_REASON} AS reason FROM judged JOIN (SELECT line_id, file_name, line_no FROM caven20_lines) USING (line_id) WHERE NOT ok""",
     "p6_valid": f"WITH {_FIELDS} SELECT line_id, CAST(p[1] AS DATE) AS date, p[2] AS channel, CAST(nullif(p[3], '') AS FLOAT) AS deliver_qty, CAST(nullif(p[4], '') AS FLOAT) AS return_qty FROM judged WHERE ok",
 }

@@ -5,9 +5,12 @@ import math
 import random
 from collections import defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 
 from skeinworks.operators import badrows, heavykeys, profile, regular, trailing
 from skeinworks.plans import problems
@@ -129,8 +132,10 @@ def test_regular_cells(spark):
 
 # ---- records
 
+CSV, FWF = problems.LAYOUTS["csv"], problems.LAYOUTS["fwf"]
 
-def strict(line, layout=badrows.CSV):
+
+def strict(line, layout=CSV):
     return badrows.parse_strict(line, layout)
 
 
@@ -141,9 +146,12 @@ def strict(line, layout=badrows.CSV):
         (' 2021-01-02 , a ,"1",', None),
         ('"2021-01-02","a,b","",".5e-3"', None),
         ('2021-01-02,"a""b",+1.,-2', None),
+        ("2021-01-02,a,1e38,1e-99", None),
+        ("0000-02-29,a,1,2", None),
         ("0001-02-29,a,1,2", "invalid date"),
         ("2021-1-2,a,1,2", "invalid date"),
         ("2021-02-30,a,1,2", "invalid date"),
+        (",a,1,2", "invalid date"),
         ("2021-01-02, ,1,2", "empty channel"),
         ("2021-01-02,a,1", "too few fields"),
         ("2021-01-02,a,1,2,", "too many fields"),
@@ -156,46 +164,89 @@ def strict(line, layout=badrows.CSV):
         ("2021-01-02,a,３,2", "invalid deliver_qty"),
         ("2021-01-02,a,1_0,2", "invalid deliver_qty"),
         ("2021-01-02,a,1e999,2", "invalid deliver_qty"),
+        ("2021-01-02,a,1e39,2", "invalid deliver_qty"),  # not finite as float
+        ("2021-01-02,a,1," + "9" * 50, "invalid return_qty"),
         ("", "too few fields"),
         (None, "no record"),
     ],
 )
-def test_strict_records(line, reason):
-    assert strict(line)[4] == reason
+def test_records_both_ways(line, reason):
+    """The strict parser, and the block that holds the record, agree."""
+    assert strict(line)[1] == reason
+    good = "2021-01-02,a,1,2"
+    columns, reasons = badrows.parse_block(pa.array([good, line, good]), CSV)
+    assert reasons.to_pylist() == [None, reason, None]
+    assert [c.cast(pa.int32()).to_pylist()[1] if c.type == pa.date32() else c.to_pylist()[1] for c in columns] == strict(line)[0]
 
 
-def test_bulk_never_accepts_more(spark):
+def test_bulk_never_accepts_more():
     rng = random.Random(3)
-    pieces = ["2021-01-02", "2021-13-02", '"', ",", ",", ",", "a", '""', "1", ".", "e5", " ", "\n", "\r", "-", "+", "\t", "é", "x"]
+    pieces = ["2021-01-02", "2021-13-02", '"', ",", ",", ",", "a", '""', "1", ".", "e5", " ", "\n", "\r", "-", "+", "\t", "é", "x", "e39"]
     good = "2021-01-02,a,1,2"
     for _ in range(4000):
         line = "".join(rng.choice(pieces) for _ in range(rng.randrange(1, 10))) if rng.random() < 0.5 else good.replace(rng.choice("21a,-"), rng.choice(pieces), 1)
-        bulk = badrows.parse_bulk(pa.array([good, line]), badrows.CSV)
-        if bulk is not None:
-            s = strict(line)
-            assert s[4] is None, line
-            assert [c[1].as_py() for c in bulk][1:] == list(s[1:4]), line
+        columns, bad = badrows.parse_bulk(pa.array([good, line]), CSV)
+        assert not bad[0]
+        if not bad[1]:
+            values, reason = strict(line)
+            assert reason is None, line
+            assert [c[1].as_py() for c in columns][1:] == values[1:], line
+
+
+@given(st.lists(st.booleans(), max_size=80))
+def test_halving(bad):
+    clean, single = badrows.clean_stretches(np.array(bad, bool))
+    assert single == [i for i, b in enumerate(bad) if b]
+    assert [i for a, z in clean for i in range(a, z)] == [i for i, b in enumerate(bad) if not b]
+    assert len(clean) <= len(single) + 1
 
 
 @pytest.mark.parametrize("end", ["\r", "\n", "\r\n"])
 def test_line_end_in_record(spark, end):
     good = "2021-01-02,a,1,2"
-    assert badrows.parse_bulk(pa.array([good, good + end]), badrows.CSV) is None and strict(good + end)[4] == "invalid return_qty"
+    assert badrows.parse_bulk(pa.array([good, good + end]), CSV)[1].tolist() == [False, True] and strict(good + end)[1] == "invalid return_qty"
     df = spark.createDataFrame([(i, "csv", good + end * (i == 50)) for i in range(200)], "line_id long, layout string, raw_line string").coalesce(1)
-    assert [r["line_id"] for r in badrows.rejected_records(badrows.parse_records(df, "raw_line", "layout", ("line_id",)), ("line_id",)).collect()] == [50]
+    assert [r["line_id"] for r in badrows.rejected_records(badrows.parse_records(df, "raw_line", "layout", problems.LAYOUTS, ("line_id",)), ("line_id",)).collect()] == [50]
 
 
 def test_records_whole(spark):
     fwf = "2021-01-02" + "a".ljust(74) + "1.5".ljust(40) + "".ljust(40)
     rows = [(i, "f", 2, "csv", "2021-01-02,a,1,") for i in range(700)] + [(700, "f", 2, "csv", "x"), (701, "f", 2, "fwf", fwf), (702, "f", 2, "fwf", fwf[:-1]), (703, "f", 2, None, "y"), (704, "f", 2, "csv", None), (705, "f", 2, "csv", "2021-01-02," + "z" * 200_000 + ",1,1")]
     df = spark.createDataFrame(rows, "line_id long, file_name string, line_no int, layout string, raw_line string").repartition(3)
-    done = badrows.parse_records(df, "raw_line", "layout", ("line_id",))
+    done = badrows.parse_records(df, "raw_line", "layout", problems.LAYOUTS, ("line_id",))
     bad = {r["line_id"]: r["reason"] for r in badrows.rejected_records(done, ("line_id",)).collect()}
     assert bad == {700: "too few fields", 702: "length is not 164", 703: "unknown layout", 704: "no record"}
     assert badrows.valid_records(done).count() == 702
-    assert badrows.parse_records(df.limit(0), "raw_line", "layout").collect() == []
+    assert badrows.parse_records(df.limit(0), "raw_line", "layout", problems.LAYOUTS).collect() == []
+    with pytest.raises(ValueError):
+        badrows.parse_records(df.withColumnRenamed("line_id", "date"), "raw_line", "layout", problems.LAYOUTS, ("date",))
+
+
+def test_strict_parses_are_few():
+    """Only the records at fault, and the few in doubt, are parsed one by one."""
+    rows = pq.read_table("/root/testdata/sf0.01/caven20_lines.parquet", columns=["raw_line", "layout", "line_no"]).to_pylist()
+    asked, original = [], badrows.parse_strict
+    badrows.parse_strict = lambda line, layout: asked.append(line) or original(line, layout)
+    try:
+        bad = 0
+        for name, layout in problems.LAYOUTS.items():
+            lines = [r["raw_line"] for r in rows if r["layout"] == name and not (name == "csv" and r["line_no"] == 1)]
+            bad += len(lines) - badrows.parse_block(pa.array(lines, pa.string()), layout)[1].null_count
+    finally:
+        badrows.parse_strict = original
+    assert 300 < bad <= len(asked) <= 1.5 * bad
+
+
+def test_other_layout(spark):
+    """Any number of fields, of any kind, filled or not."""
+    fields = tuple(badrows.Field(*x) for x in (("id", "double", True), ("note", "text"), ("day", "date")))
+    layouts = {"c": badrows.RecordLayout(fields), "w": badrows.RecordLayout(fields, ((0, 4), (4, 8), (8, 18)))}
+    lines = [("c", "1e39,,"), ("c", ",x,"), ("c", '2,"a,b",2020-02-29'), ("w", " 7  no  2020-02-30"), ("w", " 7          " + " " * 6), ("c", "3,y,2020-02-30")]
+    df = spark.createDataFrame(lines, "reason string, raw string")
+    got = [tuple(r) for r in badrows.parse_records(df.coalesce(1), "raw", "reason", layouts).collect()]
+    assert sorted(got, key=str) == sorted([(1e39, "", None, None), (None, None, None, "empty id"), (2.0, "a,b", D(2020, 2, 29), None), (None, None, None, "invalid day"), (7.0, "", None, None), (None, None, None, "invalid day")], key=str)
     with pytest.raises(ValueError):
-        badrows.parse_records(df.withColumnRenamed("line_id", "date"), "raw_line", "layout", ("date",))
+        badrows.RecordLayout((badrows.Field("x", "blob"),))
 
 
 def test_headers(spark):
