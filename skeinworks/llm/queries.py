@@ -10,12 +10,15 @@ from skeinworks.session import read_table, stage
 
 
 def p1_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    return radix.radix_percentiles(read_table(spark, d, "caven20"), "channel", "load_id", ["deliver_qty", "return_qty"])
+    done = radix.radix_percentiles(read_table(spark, d, "caven20"), "channel", "load_id", ["deliver_qty", "return_qty"])
+    return done.withColumn("load_id", F.col("load_id").cast("long"))
 
 
 def p1_summary(spark: SparkSession, d: str) -> DataFrame:
-    cells = radix.digit_histogram(read_table(spark, d, "caven20"), "channel", "load_id", ["deliver_qty", "return_qty"])
-    return cells.groupBy("k", "g", "m").agg(F.sum("n").alias("n"), F.min("lo").alias("lowest"), F.max("hi").alias("highest"))
+    """The mergeable summaries of early and late loads, combined: values and extremes of each channel, load and measure."""
+    feed, names = read_table(spark, d, "caven20"), ["deliver_qty", "return_qty"]
+    halves = [radix.digit_histogram(feed.where(w), "channel", "load_id", names) for w in ("load_id < 20", "load_id >= 20 OR load_id IS NULL")]
+    return radix.merge_histograms(*halves).groupBy("k", F.col("g").cast("long").alias("g"), "m").agg(F.sum("n").alias("n"), F.min("lo").cast("float").alias("lowest"), F.max("hi").cast("float").alias("highest"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
