@@ -22,6 +22,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -111,8 +112,12 @@ class _Cells:
 
 
 def _counted(table: pa.Table, measures: int) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray]:
-    """Entities, parts, and for every value its group and order key."""
+    """Entities in their order, parts, and for every value its group and order key."""
     entities, e = _encode(table.column(0))
+    order = pc.sort_indices(entities).to_numpy()  # neighbours begin alike, so they pack well
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    entities, e = entities.take(pa.array(order)), rank[e]
     parts, p = _encode(table.column(1))
     base = (e * len(parts) + p) * measures
     groups, keys = [], []
@@ -176,7 +181,7 @@ def _summary_cells(table: pa.Table, single: Sequence[bool]) -> _Cells:
 
 
 def _blocks(cells: _Cells, level: int, blocks: int) -> Iterator[tuple]:
-    """(block, level, entities, parts, packed cells) of a split's histogram."""
+    """(block, level, parts, packed entities and cells) of a split's histogram."""
     if not len(cells.n):
         return
     hashed = _texts(cells.entities)[cells.e]
@@ -190,21 +195,26 @@ def _blocks(cells: _Cells, level: int, blocks: int) -> Iterator[tuple]:
         e, e_local = np.unique(cells.e[at], return_inverse=True)
         p, p_local = np.unique(cells.p[at], return_inverse=True)
         wide = cells.hi[at] != cells.lo[at]
-        arrays = [e_local.astype(np.uint32), p_local.astype(np.uint32), cells.m[at].astype(np.uint16), cells.lo[at], wide, cells.hi[at][wide], cells.n[at]]
-        raw = b"".join(x.tobytes() for x in arrays)
-        yield int(block[at[0]]), level, cells.entities.take(pa.array(e)), cells.parts.take(pa.array(p)), np.array([len(at), int(wide.sum()), len(raw)]).tobytes() + pa.compress(raw, "zstd", asbytes=True)
+        keys = cells.entities.take(pa.array(e))
+        letters = b"".join(x.encode() for x in keys.to_pylist())
+        arrays = [pc.binary_length(keys).to_numpy().astype(np.uint32), e_local.astype(np.uint32), p_local.astype(np.uint32), cells.m[at].astype(np.uint16), cells.lo[at], wide, cells.hi[at][wide], cells.n[at]]
+        raw = b"".join([letters, *(x.tobytes() for x in arrays)])
+        yield int(block[at[0]]), level, cells.parts.take(pa.array(p)), np.array([len(letters), len(keys), len(at), int(wide.sum()), len(raw)]).tobytes() + pa.compress(raw, "zstd", asbytes=True)
 
 
-def _unpacked(data: bytes) -> list[np.ndarray]:
-    n, wide, size = (int(x) for x in np.frombuffer(data, np.int64, 3))
-    raw, at, out = pa.decompress(data[24:], size, "zstd", asbytes=True), 0, []
-    for kind, count in (("u4", n), ("u4", n), ("u2", n), ("u8", n), ("?", n), ("u8", wide), ("i8", n)):
+def _unpacked(data: bytes) -> tuple[pa.Array, list[np.ndarray]]:
+    letters, keys, n, wide, size = (int(x) for x in np.frombuffer(data, np.int64, 5))
+    raw, at, out = pa.decompress(data[40:], size, "zstd", asbytes=True), letters, []
+    for kind, count in (("u4", keys), ("u4", n), ("u4", n), ("u2", n), ("u8", n), ("?", n), ("u8", wide), ("i8", n)):
         out.append(np.frombuffer(raw, kind, count, at))
         at += out[-1].nbytes
-    e, p, m, lo, is_wide, hi_of_wide, count = out
+    lengths, e, p, m, lo, is_wide, hi_of_wide, count = out
+    offsets = np.zeros(keys + 1, np.int32)
+    np.cumsum(lengths, out=offsets[1:])
     hi = lo.copy()
     hi[is_wide] = hi_of_wide
-    return [e.astype(np.int64), p.astype(np.int64), m.astype(np.int64), lo, hi, count]
+    entities = pa.StringArray.from_buffers(keys, pa.py_buffer(offsets), pa.py_buffer(raw[:letters]))
+    return entities, [e.astype(np.int64), p.astype(np.int64), m.astype(np.int64), lo, hi, count]
 
 
 def _merge(batches: Iterator[pa.RecordBatch], part_type: pa.DataType, measures: int) -> dict[int, _Cells]:
@@ -231,8 +241,8 @@ def _merge(batches: Iterator[pa.RecordBatch], part_type: pa.DataType, measures:
     for b in batches:
         for i in range(b.num_rows):
             level = b.column(1)[i].as_py()
-            cells = _unpacked(b.column(4)[i].as_py())
-            waiting.setdefault(level, []).append((b.column(2)[i].values.cast(pa.string()), b.column(3)[i].values.cast(part_type), cells))
+            entities, cells = _unpacked(b.column(3)[i].as_py())
+            waiting.setdefault(level, []).append((entities, b.column(2)[i].values.cast(part_type), cells))
             counts[level] += len(cells[0])
             if counts[level] > MERGE_CELLS:
                 settle(level)
@@ -342,11 +352,11 @@ def _shuffled(df: DataFrame, measures: int, part_type: str, cells_of, levels: Se
             for level in levels:
                 rows = list(_blocks(cells if level == 0 else cells.over_parts(measures), level, blocks))
                 for a in range(0, len(rows), 500):
-                    block, of, keys, parts, data = zip(*rows[a : a + 500])
-                    lists = [pa.ListArray.from_arrays(np.cumsum([0, *map(len, x)]).astype(np.int32), pa.concat_arrays(list(x))) for x in (keys, parts)]
-                    yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), pa.array(of, pa.int32()), *lists, pa.array(data, pa.binary())], names=["block", "level", "keys", "parts", "cells"])
+                    block, of, parts, data = zip(*rows[a : a + 500])
+                    lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, parts)]).astype(np.int32), pa.concat_arrays(list(parts)))
+                    yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), pa.array(of, pa.int32()), lists, pa.array(data, pa.binary())], names=["block", "level", "parts", "cells"])
 
-    packed = df.mapInArrow(run, f"block int, level int, keys array<string>, parts array<{part_type}>, cells binary")
+    packed = df.mapInArrow(run, f"block int, level int, parts array<{part_type}>, cells binary")
     return packed.repartitionById(blocks, F.col("block"))
 
 
