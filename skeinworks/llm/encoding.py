@@ -5,22 +5,26 @@ encodings, which gives a table of garbled forms.  The distinct tokens of the cor
 are hash-joined with it; a token that is the garbled form of a word more common than
 itself is garbled, and the word is its original.  Common is what many distinct texts
 have, copies counting once; and whatever the counts, a text in which one chain explains
-several tokens that no intact text has is read wrongly.  Beside the words the table has the
-distinct characters of the clean words (for chains that write UTF-8, whose forms are
-several characters long and so unmistakable), which reach words that occur nowhere
-intact.
+several tokens that no intact text has is read wrongly.
+
+Words that occur nowhere intact have no form in the table.  For the tokens that the join
+leaves, and only for them, the characters of the clean words stand in: a token is
+garbled if forms of characters (for chains that write UTF-8, whose forms are several
+characters long and so unmistakable) make it up, or if it holds a sign no text has.
+Column ``path`` says which way a token was found.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinworks.session import fits_broadcast, only, quoted, stage
+from skeinworks.session import fits_broadcast, only, quoted, spread, stage
 
 # Encodings a text may have been written in, and ones it may be read in.
 WRITTEN = ("utf-8", "cp1252", "cp1250", "iso8859-2", "cp1251", "koi8-r", "cp866", "iso8859-5", "mac_roman", "mac_cyrillic", "cp437", "cp850", "cp852")
@@ -34,13 +38,14 @@ LOST = "�"
 TEXT = 1 << 30
 #: Tokens no intact text has that one chain must explain for a text to be taken as read wrongly.
 COHERENT = 2
-#: Rows up to which the table of garbled tokens is broadcast instead of shuffled.
-BROADCAST_ROWS = 20_000
+#: Rows, and characters in them, up to which the table of garbled tokens is broadcast instead of shuffled.
+BROADCAST_ROWS, BROADCAST_CHARACTERS = 20_000, 4_000_000
 #: A run of ASCII letters and digits and of anything beyond ASCII, with at least one of the latter.
 #: Possessive and begun only where a run begins, so linear in texts without blanks; read alike by Java and Python.
 _BEYOND = "\x80-\U0010ffff"
 TOKEN = f"(?<![A-Za-z0-9{_BEYOND}])[A-Za-z0-9]*+[{_BEYOND}][A-Za-z0-9{_BEYOND}]*+"
-_word = re.compile(r"[^\W\d_]+")
+#: Letters a word must have to vouch for a sign beside it.
+LETTERS = 3
 _script = re.compile(r"[A-Za-zªºÀ-ÖØ-öø-ɏ]+|[Ͱ-Ͽ]+|[Ѐ-ԯ]+")
 _beside = re.compile("[" + re.escape(BETWEEN + OPENING + CLOSING) + "]")
 _split = re.compile("[" + re.escape(BETWEEN) + "]")
@@ -118,15 +123,27 @@ def clean_pieces(token: str) -> list[str] | None:
     return pieces if all(plain_word(p) for p in pieces) else None
 
 
+def sign_of(token: str) -> str | None:
+    """The sign of a token that is one (a unit, a fraction, a root) among ASCII letters and digits, as °C and √2 are."""
+    beyond = [c for c in token if c > "\x7f"]
+    sign = len(beyond) == 1 and unicodedata.category(beyond[0]) in ("Sm", "So", "Sc", "No") and not "─" <= beyond[0] <= "▟" and beyond[0] != LOST
+    return beyond[0] if sign else None
+
+
 def impossible(token: str) -> bool:
     """It holds a sign no intact text has: a lost character or a C1 control."""
     return LOST in token or any("\x80" <= c <= "\x9f" for c in token)
 
 
+def _text_key(t) -> list:
+    """What tells texts apart: 96 bits of hashes."""
+    return [F.xxhash64(t).alias("h"), F.hash(t).alias("h2")]
+
+
 def text_tokens(df: DataFrame, text: str) -> DataFrame:
-    """(``h``, ``tokens``, ``n_rows``): the distinct tokens with a character beyond ASCII of each distinct text, and its rows."""
+    """(``h``, ``h2``, ``tokens``, ``n_rows``): the distinct tokens with a character beyond ASCII of each distinct text, and its rows."""
     t = quoted(text).cast("string")
-    return df.select(F.xxhash64(t).alias("h"), F.array_distinct(F.regexp_extract_all(t, F.lit(TOKEN), F.lit(0))).alias("tokens")).where("size(tokens) > 0").groupBy("h").agg(F.first("tokens").alias("tokens"), F.count(F.lit(1)).alias("n_rows"))
+    return df.select(*_text_key(t), F.array_distinct(F.regexp_extract_all(t, F.lit(TOKEN), F.lit(0))).alias("tokens")).where("size(tokens) > 0").groupBy("h", "h2").agg(F.first("tokens").alias("tokens"), F.count(F.lit(1)).alias("n_rows"))
 
 
 def token_counts(texts: DataFrame) -> DataFrame:
@@ -142,8 +159,9 @@ def _core(token: str) -> str:
 def clean_words(tokens: DataFrame) -> DataFrame:
     """(``word``, ``n``): words of the tokens that look intact, with the texts they stand in.
 
-    Words with an apostrophe inside come as a whole too, so that a garbled apostrophe
-    is found by its word.
+    Words of three letters or more come with the signs beside or inside them too
+    (quotes, apostrophes, dots), as a garbled sign is found by its word; so do signs with
+    letters or digits that are no word.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -151,9 +169,9 @@ def clean_words(tokens: DataFrame) -> DataFrame:
             words, counts = [], []
             for token, n in zip(b["token"], b["n_docs"]):
                 pieces = clean_pieces(token)
-                if pieces:
-                    core = _core(token)
-                    for w in {*pieces, core} if "’".join(pieces) == core else set(pieces):
+                if pieces or sign_of(token):
+                    whole = {_core(token), token} if not pieces or sum(map(len, pieces)) >= LETTERS else set()
+                    for w in whole.union(pieces or ()):
                         if len(w) > 1 and not w.isascii():
                             words.append(w)
                             counts.append(n)
@@ -163,22 +181,22 @@ def clean_words(tokens: DataFrame) -> DataFrame:
 
 
 def form_table(words: DataFrame) -> DataFrame:
-    """(``form``, ``original``, ``chain``, ``n``): garbled forms of the words."""
+    """(``form``, ``original``, ``chain``, ``n``, ``bare``): garbled forms of the words; ``bare`` has no sign beside it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for at in range(0, len(b), 500):
-                rows = [(form, w, chain, n) for w, n in zip(b["word"][at : at + 500], b["n"][at : at + 500]) for form, chain in garbled_forms(w).items() if form.casefold() != w.casefold()]
-                yield pd.DataFrame(rows, columns=["form", "original", "chain", "n"])
+                rows = [(form, w, chain, n, plain_word(w)) for w, n in zip(b["word"][at : at + 500], b["n"][at : at + 500]) for form, chain in garbled_forms(w).items() if form.casefold() != w.casefold()]
+                yield pd.DataFrame(rows, columns=["form", "original", "chain", "n", "bare"])
 
-    return words.mapInPandas(run, "form string, original string, chain string, n bigint")
+    return spread(words).mapInPandas(run, "form string, original string, chain string, n bigint, bare boolean")
 
 
 def character_forms(words: DataFrame, tokens: DataFrame) -> tuple[dict[str, str], set[str]]:
     """Multi-character forms of single characters, and these characters.
 
-    They are the distinct characters of the words, the signs, and those that stand as a
-    token of their own; where two share a form, the more common has it.  There are at
+    They are the distinct characters of the words (which have the signs beside them), the
+    signs of ``SIGNS``, and those that stand as a token of their own; where two share a form, the more common has it.  There are at
     most as many characters as Unicode has, so the driver may hold them.
     """
     each = words.select(F.explode(F.split("word", "")).alias("c"), "n").unionByName(tokens.where("length(token) = 1").selectExpr("token AS c", "n_docs AS n"))
@@ -212,6 +230,13 @@ def undo_characters(token: str, forms: dict[str, str], longest: int) -> tuple[st
     return "".join(out), hits
 
 
+def _small(df: DataFrame, column: str) -> DataFrame:
+    """``df``, marked for broadcast if it is known to be small."""
+    if fits_broadcast(df, BROADCAST_ROWS) and (df.agg(F.sum(F.length(column))).first()[0] or 0) <= BROADCAST_CHARACTERS:
+        return F.broadcast(df)
+    return df
+
+
 def coherent_forms(texts: DataFrame, parts: DataFrame, forms: DataFrame) -> DataFrame:
     """(``part``, ``chain``, ``looks_clean``): forms that other tokens of their texts confirm, however common they are.
 
@@ -220,48 +245,38 @@ def coherent_forms(texts: DataFrame, parts: DataFrame, forms: DataFrame) -> Data
     intact words if they stand in such texts for the most part.
     """
     places = forms.where(~F.contains("part", F.lit(LOST))).select("part", "chain", "own").distinct().join(parts.select("token", "part", "looks_clean"), "part")
-    side = F.broadcast(places) if fits_broadcast(places, BROADCAST_ROWS) else places
-    seen = stage(texts.select("h", F.explode("tokens").alias("token")).join(side, "token"))
-    wrong = seen.where("NOT looks_clean").groupBy("h", "chain").agg(F.countDistinct("part").alias("n")).where(F.col("n") >= COHERENT).select("h", "chain")
-    within = seen.join(wrong, ["h", "chain"]).groupBy("part", "chain", "looks_clean").agg(F.countDistinct("h").alias("n_texts"), F.max("own").alias("own"))
+    seen = stage(texts.select("h", "h2", F.explode("tokens").alias("token")).join(_small(places, "token"), "token"))
+    wrong = seen.where("NOT looks_clean").groupBy("h", "h2", "chain").agg(F.countDistinct("part").alias("n")).where(F.col("n") >= COHERENT).select("h", "h2", "chain")
+    within = seen.join(wrong, ["h", "h2", "chain"]).groupBy("part", "chain", "looks_clean").agg(F.countDistinct("h", "h2").alias("n_texts"), F.max("own").alias("own"))
     return within.where(f"NOT looks_clean OR own < n_texts * {2 * TEXT}").select("part", "chain", "looks_clean")
 
 
-def garbled_tokens(df: DataFrame, text: str) -> DataFrame:
-    """(``token``, ``original``, ``chain``): the garbled tokens; ``original`` is null if unknown."""
-    df = only(df, text)
-    texts = stage(text_tokens(df, text))
+def garbled_tokens(texts: DataFrame) -> DataFrame:
+    """(``token``, ``original``, ``chain``, ``path``): the garbled tokens of ``text_tokens``; ``original`` is null if unknown.
+
+    ``path``: ``word`` (by the table of forms), ``characters``, ``word and characters``
+    or ``lost`` (a sign no intact text has, and nothing that explains it).
+    """
     tokens = stage(token_counts(texts))
     words = stage(clean_words(tokens))
     characters, known = character_forms(words, tokens)
     longest = max(map(len, characters))
 
-    def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pieces_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for token, n in zip(b["token"], b["n_docs"]):
                 pieces = clean_pieces(token)
-                parts = {_core(token)}
-                if pieces is not None:
-                    parts |= set(pieces)
-                else:
-                    undone, hits = undo_characters(token, characters, longest)
-                    if hits and all(c in known for c in undone if c > "\x7f"):
-                        rows.append((token, n, None, None, undone, "utf-8 characters"))
-                        continue
-                    if impossible(token):
-                        rows.append((token, n, None, None, None, "lost"))
-                    parts |= {token, token.strip(OPENING + CLOSING), *_beside.split(token)}
-                rows += [(token, n, p, clean_pieces(p) is not None, None, None) for p in parts if len(p) > 1 and not p.isascii()]
-            yield pd.DataFrame(rows, columns=["token", "n_docs", "part", "looks_clean", "original", "chain"])
-
-    split = stage(tokens.mapInPandas(candidates, "token string, n_docs bigint, part string, looks_clean boolean, original string, chain string"))
-    direct = split.where("part IS NULL").select("token", "original", "chain", F.lit(0).alias("size"))
-    parts = split.where("part IS NOT NULL").select("token", "n_docs", "part", "looks_clean")
+                parts = {token, _core(token)}
+                parts |= set(pieces) if pieces is not None else {token.strip(OPENING + CLOSING), *_beside.split(token)}
+                rows += [(token, n, p, clean_pieces(p) is not None) for p in parts if len(p) > 1 and not p.isascii()]
+            yield pd.DataFrame(rows, columns=["token", "n_docs", "part", "looks_clean"])
+
+    parts = stage(tokens.mapInPandas(pieces_of, "token string, n_docs bigint, part string, looks_clean boolean"))
     forms = stage(
         parts.groupBy("part")
         .agg(F.sum("n_docs").alias("own"))
-        .join(form_table(words).withColumnRenamed("form", "part").hint("merge"), "part")  # its size grows with the corpus: never broadcast
+        .join(form_table(words).withColumnRenamed("form", "part").hint("shuffle_hash"), "part")  # its size grows with the corpus: never broadcast
     )
     confirmed = stage(coherent_forms(texts, parts, forms))
     # A word that is itself such a form is nobody's original: else the sense turns round where garbled texts are many.
@@ -271,35 +286,52 @@ def garbled_tokens(df: DataFrame, text: str) -> DataFrame:
         .where("n > own OR coherent")
         .join(garbled_words, "original", "left_anti")
         .groupBy("part")
-        .agg(F.max_by(F.struct("original", "chain"), F.struct("n", "original")).alias("best"), F.countDistinct("original").alias("ways"))
+        .agg(F.max_by(F.struct("original", "chain"), F.struct(F.contains("part", F.lit(LOST)) & F.col("bare"), F.col("n"), F.col("original"))).alias("best"), F.countDistinct("original").alias("all_ways"), F.countDistinct(F.when(F.col("bare"), F.col("original"))).alias("bare_ways"))
+        .withColumn("ways", F.when(F.col("bare_ways") > 0, F.col("bare_ways")).otherwise(F.col("all_ways")))
     )
     certain = (F.col("ways") == 1) | ~F.contains("part", F.lit(LOST))  # of several words that lost the same letters none is certain
-    joined = parts.join(changed.hint("merge"), "part").select("token", F.when(certain, F.replace("token", "part", "best.original")).alias("original"), "best.chain", F.length("part").alias("size"))
+    joined = parts.join(changed.hint("shuffle_hash"), "part").select("token", F.when(certain, F.replace("token", "part", "best.original")).alias("original"), "best.chain", F.length("part").alias("size"))
     order = F.struct(F.col("original").isNotNull(), F.col("size"), F.col("original"))
-    return joined.unionByName(direct).groupBy("token").agg(F.max_by(F.struct("original", "chain"), order).alias("b")).select("token", "b.original", "b.chain")
+    by_word = joined.groupBy("token").agg(F.max_by(F.struct("original", "chain"), order).alias("b")).select("token", "b.original", "b.chain", F.lit(True).alias("met"))
+
+    def rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for token, original, chain, met in zip(b["token"], b["original"], b["chain"], b["met"].notna()):
+                if met and (original is None or clean_pieces(original) is not None):
+                    rows.append((token, original, chain, "word"))
+                    continue
+                undone, hits = undo_characters(original if met else token, characters, longest) if met or clean_pieces(token) is None else (token, 0)
+                if hits and all(c in known for c in undone if c > "\x7f") and (not met or clean_pieces(undone) is not None):
+                    rows.append((token, undone, f"{chain}, utf-8 characters" if met else "utf-8 characters", "word and characters" if met else "characters"))
+                elif met:
+                    rows.append((token, original, chain, "word"))
+                elif impossible(token):
+                    rows.append((token, None, "lost", "lost"))
+            yield pd.DataFrame(rows, columns=["token", "original", "chain", "path"])
 
+    return tokens.select("token").join(by_word, "token", "left").mapInPandas(rest, "token string, original string, chain string, path string")
 
-def _document_tokens(df: DataFrame, id_column: str, text: str) -> DataFrame:
-    return only(df, id_column, text).select(quoted(id_column).alias("__id"), F.explode(F.array_distinct(F.regexp_extract_all(quoted(text).cast("string"), F.lit(TOKEN), F.lit(0)))).alias("token"))
+
+def _by_text(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """The garbled tokens of every text that has some."""
+    return texts.select("h", "h2", F.explode("tokens").alias("token")).join(_small(found, "token"), "token")
 
 
 def affected(df: DataFrame, id_column: str, text: str) -> DataFrame:
-    """One row per affected record: id, ``n_garbled`` and ``n_restorable`` distinct tokens, ``chains``.
+    """One row per affected record: id, ``n_garbled`` and ``n_restorable`` distinct tokens, ``chains``, ``paths``.
 
-    A null or empty text is not affected.  Repeated rows are judged alike; a repeated
-    id is one record.  Long texts are read whole.  An empty table gives an empty
-    result.  Other columns are not read.
+    A null or empty text is not affected.  Repeated rows are judged alike; of a repeated
+    id every affected text has a row, equal ones one.  Long texts are read whole.  An
+    empty table gives an empty result.  Other columns are not read.
     """
-    found = garbled_tokens(df, text)
-    found = stage(found)
-    side = F.broadcast(found) if fits_broadcast(found, BROADCAST_ROWS) else found
-    return (
-        _document_tokens(df, id_column, text)
-        .join(side, "token")
-        .groupBy("__id")
-        .agg(F.countDistinct("token").alias("n_garbled"), F.countDistinct(F.when(F.col("original").isNotNull(), F.col("token"))).alias("n_restorable"), F.array_sort(F.collect_set("chain")).alias("chains"))
-        .withColumnRenamed("__id", id_column)
-    )
+    df = only(df, id_column, text)
+    texts = stage(text_tokens(df, text))
+    found = stage(garbled_tokens(texts))
+    sets = [F.array_sort(F.collect_set(c)).alias(f"{c}s") for c in ("chain", "path")]
+    wrong = _by_text(texts, found).groupBy("h", "h2").agg(F.count(F.lit(1)).alias("n_garbled"), F.count("original").alias("n_restorable"), *sets)
+    rows = df.select(quoted(id_column).alias("__id"), *_text_key(quoted(text).cast("string"))).distinct()
+    return rows.join(wrong, ["h", "h2"]).drop("h", "h2").withColumnRenamed("__id", id_column)
 
 
 def restored(df: DataFrame, id_column: str, text: str) -> DataFrame:
@@ -308,9 +340,10 @@ def restored(df: DataFrame, id_column: str, text: str) -> DataFrame:
     Garbled tokens with a known original are replaced, the others stay as they are.
     The pairs of one record are no more than its distinct tokens.
     """
-    found = stage(garbled_tokens(df, text))
-    side = F.broadcast(found) if fits_broadcast(found, BROADCAST_ROWS) else found
-    pairs = _document_tokens(df, id_column, text).join(side, "token").groupBy("__id").agg(F.collect_list(F.struct("token", "original")).alias("pairs"))
+    df = only(df, id_column, text)
+    texts = stage(text_tokens(df, text))
+    found = stage(garbled_tokens(texts))
+    pairs = _by_text(texts, found).groupBy("h", "h2").agg(F.collect_list(F.struct("token", "original")).alias("pairs"))
     token = re.compile(TOKEN)
 
     @F.pandas_udf("string")
@@ -321,5 +354,6 @@ def restored(df: DataFrame, id_column: str, text: str) -> DataFrame:
             out.append(token.sub(lambda m: known.get(m[0], m[0]), t))  # noqa: B023
         return pd.Series(out)
 
-    rows = only(df, id_column, text).select(quoted(id_column).alias("__id"), quoted(text).cast("string").alias("__text"))
-    return rows.join(pairs, "__id").select(F.col("__id").alias(id_column), mend("__text", "pairs").alias("restored_text"), F.forall("pairs", lambda x: x["original"].isNotNull()).alias("complete"))
+    t = quoted(text).cast("string")
+    rows = df.select(quoted(id_column).alias("__id"), t.alias("__text"), *_text_key(t))
+    return rows.join(pairs, ["h", "h2"]).select(F.col("__id").alias(id_column), mend("__text", "pairs").alias("restored_text"), F.forall("pairs", lambda x: x["original"].isNotNull()).alias("complete"))

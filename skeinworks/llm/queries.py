@@ -42,12 +42,38 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
     return encoding.restored(read_table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_percentiles, p1_summary, p7_found, p8_mixture, p8_shares, p9_found, p9_restored)}
+#: Lines, and the chains by which they are written and read wrongly, that ``p9_planted`` adds to the documents.
+PLANTED = (
+    ("Cette forêt mystérieuse était éloignée", ("utf-8", "cp1252")),
+    ("Der kühne Müßiggänger übt schläfrig", ("cp1252", "cp850")),
+    ("Zażółć gęślą jaźń, źrebię", ("cp1250", "cp1252")),
+    ("Съешь ещё этих мягких французских булок", ("cp1251", "cp1252")),
+    ("Широкая электрификация южных губерний", ("koi8-r", "cp1251")),
+    ("El pingüino Wenceslao hizo kilómetros", ("utf-8", "cp1252", "utf-8", "cp1252")),
+    ("Então vovô Kowalsky não vê o ímã cair", ("mac_roman", "cp1252")),
+)
+
+
+def p9_planted(spark: SparkSession, d: str) -> DataFrame:
+    """Known garbled lines among all documents, restored; each stands intact three times too."""
+    rows = []
+    for i, (line, chain) in enumerate(PLANTED):
+        wrong = line
+        for a, b in zip(chain[::2], chain[1::2]):
+            wrong = encoding.read_as(wrong.encode(a), b)
+        rows += [(-1 - i, wrong), *((-1000 - 10 * i - k, f"{line} {k}") for k in range(3))]
+    planted = spark.createDataFrame(rows, "doc_id long, text string")
+    done = encoding.restored(read_table(spark, d, "documents").select("doc_id", "text").unionByName(planted), "doc_id", "text")
+    return done.where("doc_id < 0").select("doc_id", "restored_text", "complete")
+
+
+QUERIES = {f.__name__: f for f in (p9_planted, p1_percentiles, p1_summary, p7_found, p8_mixture, p8_shares, p9_found, p9_restored)}
 
 _VALUES = """v AS (SELECT trim(channel, ' ') AS channel, CAST(load_id AS BIGINT) AS load_id, 'deliver_qty' AS measure, deliver_qty + 0 AS x FROM caven20 WHERE NOT isnan(deliver_qty) AND channel IS NOT NULL
     UNION ALL SELECT trim(channel, ' '), CAST(load_id AS BIGINT), 'return_qty', return_qty + 0 FROM caven20 WHERE NOT isnan(return_qty) AND channel IS NOT NULL),
     r AS (SELECT channel, load_id, false AS all_parts, measure, x FROM v UNION ALL SELECT channel, NULL, true, measure, x FROM v)"""
 ORACLE: dict[str, str] = {
+    "p9_planted": "SELECT * FROM (VALUES " + ", ".join(f"(CAST({-1 - i} AS BIGINT), '{line}', true)" for i, (line, _) in enumerate(PLANTED)) + ") t(doc_id, restored_text, complete)",
     "p1_percentiles": f"""WITH {_VALUES}, l AS (SELECT channel, load_id, all_parts, measure, count(*) AS n, list_sort(list(x)) AS xs FROM r GROUP BY ALL)
         SELECT channel, load_id, all_parts, measure, n, """
     + ", ".join(f"CAST(xs[greatest(1, (n * {q} + 999) // 1000)] AS DOUBLE) AS p{q}" for q in (50, 250, 500, 750, 950, 990))

@@ -38,8 +38,30 @@ def test_found_and_restored(spark):
     assert ids == {1000 + i for i in range(len(CASES) + len(LOST))}
     back = {r["doc_id"]: (r["restored_text"], r["complete"]) for r in encoding.restored(df, "doc_id", "text").collect()}
     wanted = CLEAN[:1] + CLEAN[1:2] + CLEAN[2:3] + CLEAN[3:4] + CLEAN[4:5] + CLEAN[5:6] + CLEAN[6:7] + CLEAN[7:8] + CLEAN[8:9] + CLEAN[9:10]
-    right = [back[1000 + i] == (w, True) for i, w in enumerate(wanted)]
-    assert sum(right) >= 9, [(back[1000 + i], w) for i, w in enumerate(wanted) if not right[i]]
+    assert [back[1000 + i] for i in range(len(wanted))] == [(w, True) for w in wanted]
+
+
+def test_paths(spark):
+    """The table of forms explains every token whose word is known; characters only the others."""
+    rare = [garble("prétérition", "utf-8", "cp1252"), garble("Le café hivérnal", "utf-8", "mac_roman")]
+    texts = encoding.text_tokens(corpus(spark, [*CASES, *LOST, *rare]), "text")
+    paths = {r["token"]: (r["path"], r["original"]) for r in encoding.garbled_tokens(texts).collect()}
+    assert sorted((v for v in paths.values() if v[0] != "word"), key=str) == [("characters", "hivérnal"), ("characters", "prétérition"), ("characters", "—"), ("lost", None)]
+    assert sum(v[0] == "word" for v in paths.values()) >= 25
+
+
+@pytest.mark.parametrize("sign", ["√2", "£4", "½", "°C"])
+def test_signs(spark, sign):
+    """Signs that stand with digits or letters are known from where they are intact."""
+    wrong = [garble(f"7 {sign} more", *chain) for chain in (("utf-8", "cp1252"), ("utf-8", "cp437")) if sign != "½"]
+    df = corpus(spark, [f"again {sign} here", f"and {sign} there", f"{sign} once more", *wrong])
+    assert {r["doc_id"] for r in encoding.affected(df, "doc_id", "text").collect()} == {1003 + i for i in range(len(wrong))}
+
+
+def test_short_words_vouch_for_no_sign(spark):
+    """A misread short word is not taken for an even shorter one and a sign."""
+    df = corpus(spark, ["Ià", *["I… and I… again"] * 5])
+    assert encoding.affected(df, "doc_id", "text").collect() == []
 
 
 def test_edges(spark):
