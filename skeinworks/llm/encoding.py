@@ -244,10 +244,13 @@ def coherent_forms(texts: DataFrame, parts: DataFrame, forms: DataFrame) -> Data
     read wrongly.  In it the chain's other forms are garbled too, those that look like
     intact words if they stand in such texts for the most part.
     """
-    places = forms.where(~F.contains("part", F.lit(LOST))).select("part", "chain", "own").distinct().join(parts.select("token", "part", "looks_clean"), "part")
-    seen = stage(texts.select("h", "h2", F.explode("tokens").alias("token")).join(_small(places, "token"), "token"))
-    wrong = seen.where("NOT looks_clean").groupBy("h", "h2", "chain").agg(F.countDistinct("part").alias("n")).where(F.col("n") >= COHERENT).select("h", "h2", "chain")
-    within = seen.join(wrong, ["h", "h2", "chain"]).groupBy("part", "chain", "looks_clean").agg(F.countDistinct("h", "h2").alias("n_texts"), F.max("own").alias("own"))
+    places = stage(forms.where(~F.contains("part", F.lit(LOST))).select("part", "chain", "own").distinct().join(parts.select("token", "part", "looks_clean"), "part"))
+    odd = places.where("NOT looks_clean").select("token", "part", "chain")
+    told = texts.select("h", "h2", F.explode("tokens").alias("token")).join(_small(odd, "token"), "token")
+    wrong = stage(told.groupBy("h", "h2", "chain").agg(F.countDistinct("part").alias("n")).where(F.col("n") >= COHERENT).select("h", "h2", "chain"))
+    # Only the texts read wrongly, few as a rule, are searched for their chain's other forms.
+    those = texts.join(wrong, ["h", "h2"]).select("h", "h2", "chain", F.explode("tokens").alias("token"))
+    within = those.join(places, ["token", "chain"]).groupBy("part", "chain", "looks_clean").agg(F.countDistinct("h", "h2").alias("n_texts"), F.max("own").alias("own"))
     return within.where(f"NOT looks_clean OR own < n_texts * {2 * TEXT}").select("part", "chain", "looks_clean")
 
 
