@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinworks.operators import badrows, heavykeys, profile, regular, trailing
-from skeinworks.session import read_table
+from skeinworks.session import read_table, stage
 
 _LINE = ("line_id", "file_name", "line_no", "layout")
 _FIELDS_OF_LINE = tuple(badrows.Field(*x) for x in (("date", "date", True), ("channel", "text", True), ("deliver_qty", "float"), ("return_qty", "float")))
@@ -31,28 +31,48 @@ def p2_channel_totals(spark: SparkSession, d: str) -> DataFrame:
 CHANNEL = r"[0-9]{7}/[0-9]{10}/[0-9]{2}-[0-9]{2}/[0-9]{2}"
 
 
+#: When a load of this feed is unlike the others.
+STEPS = profile.Steps(share=0.08, shape=0.15, deviations=6.0, floor=0.04, share_chance=(6.0, 4.0), level_chance=(8.0, 40.0), end_chance=(8.0, 15.0))
+
+
+def load_months(feed: DataFrame) -> DataFrame:
+    """The month a load is about: the one before it first came."""
+    first = F.trunc(F.add_months(F.trunc(F.col("at").cast("date"), "month"), -1), "month")
+    months = feed.groupBy(F.col("load_id").cast("long").alias("part")).agg(F.min("loaded_at").alias("at"))
+    return months.select("part", F.unix_date(first).alias("first_day"), F.unix_date(F.add_months(first, 1)).alias("next_day"))
+
+
+def calendar_span(calendar: DataFrame) -> tuple[int, int] | None:
+    """First and last day of the calendar, as days since 1970-01-01."""
+    span = calendar.agg(F.min("date").alias("a"), F.max("date").alias("b")).select(F.unix_date("a"), F.unix_date("b")).first()
+    return None if span[0] is None else (span[0], span[1])
+
+
 def p3_unlike(spark: SparkSession, d: str) -> DataFrame:
-    return profile.unlike_loads(read_table(spark, d, "caven20"), "load_id", "loaded_at", ["deliver_qty", "return_qty"], ["date"], read_table(spark, d, "calendar_days"))
+    feed = read_table(spark, d, "caven20")
+    return profile.unlike_loads(feed, "load_id", ["deliver_qty", "return_qty"], ["date"], stage(load_months(feed)), STEPS, days=calendar_span(read_table(spark, d, "calendar_days")))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_unlike(spark, d).select(F.col("load_id").cast("int").alias("load_id"), "column_name")
 
 
-def p3_profile(spark: SparkSession, d: str) -> DataFrame:
-    done = profile.column_profile(read_table(spark, d, "caven20"), "load_id", ["row_id", "deliver_qty", "return_qty"], ["date", "loaded_at"], {"channel": CHANNEL})
-    return done.select("column", "load_id", "n_rows", *[F.round(c, 6).alias(c) for c in ("null_share", "nan_share", "negative_share", "zero_share")], "lowest", "highest", "n_violations")
-
-
 #: Every column of caven20 by kind: numbers, dates, texts with their pattern.
 _ALL_COLUMNS = (["row_id", "load_id", "deliver_qty", "return_qty"], ["date", "loaded_at"], {"channel": CHANNEL})
 
 
 def p3_distinct(spark: SparkSession, d: str) -> DataFrame:
-    """The whole profile of every column and load, with approximate distinct values."""
+    """The whole profile of every column and load."""
     return profile.column_profile(read_table(spark, d, "caven20"), "load_id", *_ALL_COLUMNS)
 
 
+def p3_profile(spark: SparkSession, d: str) -> DataFrame:
+    """The same, with rounded shares, and distinct values where they are counted exactly."""
+    done = p3_distinct(spark, d)
+    exact = F.when(F.col("n_distinct") < profile.DISTINCT, F.col("n_distinct"))
+    return done.select("column", "load_id", "n_rows", *[F.round(c, 6).alias(c) for c in ("null_share", "nan_share", "negative_share", "zero_share")], "lowest", "highest", exact.alias("n_distinct"), "n_violations")
+
+
 def p4_trailing(spark: SparkSession, d: str) -> DataFrame:
     return trailing.trailing_totals(read_table(spark, d, "caven20"), "channel", "date", ["deliver_qty", "return_qty"], (7, 30), calendar=read_table(spark, d, "calendar_days"))
 
@@ -120,6 +140,8 @@ _REASON = f"""CASE WHEN raw_line IS NULL THEN 'no record' WHEN layout = 'fwf' AN
       WHEN layout = 'csv' AND NOT shaped THEN CASE WHEN len(string_split(regexp_replace(raw_line, '"([^"]|"")*"', '', 'g'), ',')) < 4 THEN 'too few fields' ELSE 'too many fields' END
       WHEN NOT (regexp_full_match(p[1], '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AND try_cast(p[1] AS DATE) IS NOT NULL) THEN 'invalid date'
       WHEN p[2] = '' THEN 'empty channel' WHEN NOT regexp_full_match(p[3], '{_QTY}') THEN 'invalid deliver_qty' ELSE 'invalid return_qty' END"""
+#: Distinct values as far as the profile counts them exactly.
+_EXACT = f"CASE WHEN count(DISTINCT {{c}}) < {profile.DISTINCT} THEN count(DISTINCT {{c}}) END AS n_distinct"
 
 ORACLE = {
     "p2_found": "SELECT trim(channel, ' ') AS channel FROM caven20 WHERE channel IS NOT NULL GROUP BY 1 HAVING count(*) >= 0.02 * (SELECT count(*) FROM caven20)",
@@ -131,19 +153,17 @@ ORACLE = {
     + " UNION ALL ".join(
         f"""SELECT '{c}' AS column, l AS load_id, count(*) AS n_rows, round(count(*) FILTER ({c} IS NULL) / count(*), 6) AS null_share, round(count(*) FILTER (isnan({v})) / count(*), 6) AS nan_share,
         round(count(*) FILTER ({v} < 0 AND NOT isnan({v})) / count(*), 6) AS negative_share, round(count(*) FILTER ({v} = 0) / count(*), 6) AS zero_share,
-        min(CASE WHEN NOT isnan({v}) THEN {v} END) AS lowest, max(CASE WHEN NOT isnan({v}) THEN {v} END) AS highest,
+        min(CASE WHEN NOT isnan({v}) THEN {v} END) AS lowest, max(CASE WHEN NOT isnan({v}) THEN {v} END) AS highest, {_EXACT.format(c=c)},
         CAST({bad} AS BIGINT) AS n_violations FROM k GROUP BY l"""
         for c, v, bad in (
-            ("row_id", "CAST(row_id AS DOUBLE)", "0"),
-            ("deliver_qty", "CAST(deliver_qty AS DOUBLE)", "0"),
-            ("return_qty", "CAST(return_qty AS DOUBLE)", "0"),
+            *((n, f"CAST({n} AS DOUBLE)", "0") for n in ("row_id", "load_id", "deliver_qty", "return_qty")),
             ("channel", "CAST(NULL AS DOUBLE)", f"count(*) FILTER (channel IS NOT NULL AND NOT regexp_full_match(channel, '{CHANNEL}'))"),
         )
     )
     + " UNION ALL "
     + " UNION ALL ".join(
         f"""SELECT '{c}', l, count(*), round(count(*) FILTER ({c} IS NULL) / count(*), 6), 0, 0, 0, CAST(min(CAST({c} AS DATE) - CAST('1970-01-01' AS DATE)) AS DOUBLE),
-        CAST(max(CAST({c} AS DATE) - CAST('1970-01-01' AS DATE)) AS DOUBLE), 0 FROM k GROUP BY l"""
+        CAST(max(CAST({c} AS DATE) - CAST('1970-01-01' AS DATE)) AS DOUBLE), {_EXACT.format(c=c)}, 0 FROM k GROUP BY l"""
         for c in ("date", "loaded_at")
     ),
     "p4_trailing_rounded": f"WITH {_READINGS}, {_SPAN}, full_grid AS (SELECT channel, date, coalesce(dq, 0) AS dq, coalesce(rq, 0) AS rq FROM grid LEFT JOIN daily USING (channel, date)) SELECT channel, date, "
