@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skeinworks.llm import encoding, leakage, mixture, radix
@@ -34,6 +34,15 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture.reached(p8_mixture(spark, d), read_table(spark, d, "mix_targets"))
 
 
+def p8_held(spark: SparkSession, d: str) -> DataFrame:
+    """Per target source: is its share met as closely as whole documents allow, and its cap kept?  Recomputed from the chosen documents."""
+    used = p8_mixture(spark, d).groupBy("source").agg(F.sum(F.col("copies") * F.col("n_tokens")).alias("t"), F.max("n_tokens").alias("longest"), F.max("copies").alias("most"))
+    over_all = Window.partitionBy()  # one row per target source
+    rows = read_table(spark, d, "mix_targets").join(used, "source", "left").withColumns({"whole": F.sum("t").over(over_all), "slack": 2 * F.max("longest").over(over_all), "k": F.count(F.lit(1)).over(over_all)})
+    gap = F.abs(F.coalesce("t", F.lit(0)) - F.col("target_share") * F.col("whole"))
+    return rows.select("source", (gap <= F.col("slack") * (1 + F.col("target_share") * F.col("k"))).alias("share_met"), (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")).alias("cap_kept"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return encoding.affected(read_table(spark, d, "documents"), "doc_id", "text").select("doc_id")
 
@@ -67,12 +76,13 @@ def p9_planted(spark: SparkSession, d: str) -> DataFrame:
     return done.where("doc_id < 0").select("doc_id", "restored_text", "complete")
 
 
-QUERIES = {f.__name__: f for f in (p9_planted, p1_percentiles, p1_summary, p7_found, p8_mixture, p8_shares, p9_found, p9_restored)}
+QUERIES = {f.__name__: f for f in (p9_planted, p1_percentiles, p1_summary, p7_found, p8_mixture, p8_shares, p8_held, p9_found, p9_restored)}
 
 _VALUES = """v AS (SELECT trim(channel, ' ') AS channel, CAST(load_id AS BIGINT) AS load_id, 'deliver_qty' AS measure, deliver_qty + 0 AS x FROM caven20 WHERE NOT isnan(deliver_qty) AND channel IS NOT NULL
     UNION ALL SELECT trim(channel, ' '), CAST(load_id AS BIGINT), 'return_qty', return_qty + 0 FROM caven20 WHERE NOT isnan(return_qty) AND channel IS NOT NULL),
     r AS (SELECT channel, load_id, false AS all_parts, measure, x FROM v UNION ALL SELECT channel, NULL, true, measure, x FROM v)"""
 ORACLE: dict[str, str] = {
+    "p8_held": "SELECT source, true AS share_met, true AS cap_kept FROM mix_targets",
     "p9_planted": "SELECT * FROM (VALUES " + ", ".join(f"(CAST({-1 - i} AS BIGINT), '{line}', true)" for i, (line, _) in enumerate(PLANTED)) + ") t(doc_id, restored_text, complete)",
     "p1_percentiles": f"""WITH {_VALUES}, l AS (SELECT channel, load_id, all_parts, measure, count(*) AS n, list_sort(list(x)) AS xs FROM r GROUP BY ALL)
         SELECT channel, load_id, all_parts, measure, n, """
