@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ FIELDS = ("DAY_OF_WEEK", "DAY_OF_MONTH", "ALIGNED_WEEK_OF_MONTH", "MONTH_OF_YEAR
 YEAR_SHIFT = {"Iso": 0, "ThaiBuddhist": 543, "Minguo": -1911, "Japanese": 0}
 #: Calendars that need the JVM's tables.
 JVM_CALENDARS = ("Hijrah",)
+# The years of the Hijrah calendar's tables.
+HIJRAH_YEARS = (1300, 1600)
 
 
 def day_sequence(first: Column, end: Column) -> Column:
@@ -38,31 +42,44 @@ def date_fields(day: Column, calendar: str = "Iso") -> dict[str, Column]:
 
 
 def calendar_features(df: DataFrame, day: str, calendar: str = "Iso", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row with the int columns ``<calendar>:<field>``, and the columns ``keep``."""
+    """One row per row with the int columns ``<calendar>:<field>``, and the columns ``keep``.
+
+    Days a calendar does not know (Hijrah has the years 1300 to 1600) give null.
+    """
     d = quoted(day).cast("date")
     if calendar in JVM_CALENDARS:
-        span = df.agg(F.min(d), F.max(d)).first()
-        if span[0] is None:
-            raise ValueError("no dates")
-        table = date_dimension(df.sparkSession, str(span[0]), str(span[1]), calendar)  # a row per day of the span
-        rows = df.withColumn("__day", d).join(F.broadcast(table), "__day", "left")
-        return rows.select(*[quoted(k) for k in keep], *[quoted(c) for c in table.columns if c != "__day"])
+        starts = hijrah_months(df.sparkSession)
+        first = np.array([x[2] for x in starts], np.int64)
+        year, month = (np.array([x[i] for x in starts]) for i in (0, 1))
+
+        @F.pandas_udf(", ".join(f"`{f}` int" for f in FIELDS))
+        def fields(days: pd.Series) -> pd.DataFrame:
+            n = days.to_numpy(np.float64, na_value=np.nan)
+            known = (n >= first[0]) & (n < first[-1])
+            n = np.where(known, n, first[0]).astype(np.int64)
+            at = np.searchsorted(first, n, "right") - 1
+            of_month = n - first[at] + 1
+            found = ((n + 3) % 7 + 1, of_month, (of_month - 1) // 7 + 1, month[at], year[at])
+            return pd.DataFrame({f: pd.Series(x, dtype="Int32").where(known) for f, x in zip(FIELDS, found)})
+
+        rows = df.select(*[quoted(k) for k in keep], fields(F.unix_date(d)).alias("__f"))
+        return rows.select(*[quoted(k) for k in keep], *[F.col(f"__f.`{f}`").alias(f"{calendar}:{f}") for f in FIELDS])
     return df.select(*[quoted(k) for k in keep], *[c.cast("int").alias(f"{calendar}:{f}") for f, c in date_fields(d, calendar).items()])
 
 
-def date_dimension(spark: SparkSession, first: str, last: str, calendar: str) -> DataFrame:
-    """Table of the days first..last (``__day``) with the fields of a JVM chronology."""
-    jvm = spark._jvm
-    local, field = jvm.java.time.LocalDate, jvm.java.time.temporal.ChronoField
-    of = jvm.java.time.chrono.HijrahDate
-    rows, day, end = [], local.parse(first), local.parse(last)
-    names = list(FIELDS)
-    while not day.isAfter(end):
-        h = getattr(of, "from")(day)
-        rows.append((day.toString(), *[int(h.getLong(field.valueOf(n))) for n in names]))
-        day = day.plusDays(1)
-    table = spark.createDataFrame(rows, "d string, " + ", ".join(f"`{calendar}:{n}` int" for n in names))
-    return table.select(F.to_date("d").alias("__day"), *[quoted(c) for c in table.columns[1:]])
+_months: list[tuple[int, int, int]] = []
+
+
+def hijrah_months(spark: SparkSession) -> list[tuple[int, int, int]]:
+    """(year, month, first day since 1970-01-01) of every Hijrah month the JVM knows, and the day after the last; a few thousand, read once."""
+    if not _months:
+        of = spark._jvm.java.time.chrono.HijrahChronology.INSTANCE
+        low, high = HIJRAH_YEARS
+        last = of.date(high, 12, 1)
+        end = (high + 1, 1, int(last.toEpochDay()) + int(last.lengthOfMonth()))
+        months = [(y, m, int(of.date(y, m, 1).toEpochDay())) for y in range(low, high + 1) for m in range(1, 13)]
+        _months.extend([*months, end])
+    return _months
 
 
 def lenient_date(text: Column) -> Column:

@@ -152,7 +152,7 @@ def key_totals(df: DataFrame, key: str, values: Sequence[str] = (), *, trim: boo
 
     summed = (
         read.mapInArrow(split, _split_schema(width))
-        .repartition(blocks, "block")
+        .repartitionById(blocks + 1, F.when(F.col("block") < 0, blocks).otherwise(F.col("block")))
         .mapInArrow(reduce, "k string, n bigint" + "".join(f", c{i} bigint, s{i} double" for i in range(width)))
     )
     names = [F.col("k").alias(key), F.col("n").alias("n_rows")]

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinworks.functions.hashes import md4_hex
@@ -51,29 +52,64 @@ def trie_prefix(paths: DataFrame, prefix: Sequence[str]) -> DataFrame:
     return paths.where(F.slice("path", 1, len(prefix)) == F.array(*[F.lit(w) for w in prefix]))
 
 
-def bloom_filter(df: DataFrame, column: str, expected: int, bits: int | None = None):
-    """A JVM Bloom filter over a column, 11 bits per expected value unless said otherwise.
+#: Largest filter that is built and sent: 8 MB, the bound Spark itself sets to such filters.
+MOST_BITS = 1 << 26
 
-    Its size is set by ``expected``, not by the data.
-    """
-    return df._jdf.stat().bloomFilter(column, expected, bits or 11 * expected)
+
+@dataclass(frozen=True)
+class Bloom:
+    """A Bloom filter: built by aggregation over all partitions, asked by a JVM expression."""
+
+    raw: bytes
+
+    def may_contain(self, column: Column) -> Column:
+        """A boolean column: may the value be in the filter?  Never false for one that was added; false for null."""
+        return column.isNotNull() & _jvm_column("BloomFilterMightContain", F.lit(self.raw), F.xxhash64(column))
+
+    def merged(self, other: Bloom) -> Bloom:
+        """The union of two filters of equal size and hash count."""
+        jvm = SparkSession.active()._jvm
+        a, b = (jvm.org.apache.spark.util.sketch.BloomFilter.readFrom(jvm.java.io.ByteArrayInputStream(x.raw)) for x in (self, other))
+        if not a.isCompatible(b):
+            raise ValueError("filters of different size or hash count")
+        out = jvm.java.io.ByteArrayOutputStream()
+        a.mergeInPlace(b).writeTo(out)
+        return Bloom(bytes(out.toByteArray()))
 
 
-def bloom_may_contain(bloom, values: Sequence) -> list[bool]:
-    """Membership of single values; never false for a value that was added."""
-    return [bool(bloom.mightContain(v)) for v in values]
+def _jvm_column(name: str, *children: Column, aggregate: bool = False) -> Column:
+    """A Catalyst expression that has no function of its own."""
+    from pyspark.sql.classic.column import Column as Classic
 
+    jvm = SparkSession.active()._jvm
+    wrap, package = jvm.org.apache.spark.sql.classic.ExpressionUtils, jvm.org.apache.spark.sql.catalyst.expressions
+    made = getattr(package.aggregate if aggregate else package, name)(*[wrap.expression(c._jc) for c in children])
+    return Classic(wrap.column(made.toAggregateExpression() if aggregate else made))
 
-def merge_blooms(a, b):
-    """The union of two filters of equal size and hash count."""
-    if not a.isCompatible(b):
-        raise ValueError("filters of different size or hash count")
-    return a.mergeInPlace(b)
+
+def bloom_filter(df: DataFrame, column: str, expected: int, bits: int | None = None) -> Bloom:
+    """A filter of a column's values (null is none), 11 bits per expected value unless said otherwise.
+
+    Its size is set by ``expected``, not by the data, and at most ``MOST_BITS`` (ValueError).
+    """
+    bits = bits or 11 * max(1, expected)
+    if bits > MOST_BITS:
+        raise ValueError(f"a filter of {bits} bits is larger than {MOST_BITS}")
+    value = quoted(column)
+    built = df.where(value.isNotNull()).agg(_jvm_column("BloomFilterAggregate", F.xxhash64(value), F.lit(expected).cast("long"), F.lit(bits).cast("long"), aggregate=True).alias("b")).first()[0]
+    # Of no value there is no filter: one of a value that is not asked for stands in.
+    return bloom_filter(df.sparkSession.range(1).select(F.lit("\0nothing").alias(column)), column, expected, bits) if built is None else Bloom(bytes(built))
 
 
 def bloom_semi_join(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
-    """Rows whose key the other table has.  Catalyst puts a run-time Bloom filter before the exact join where it pays."""
-    return df.join(other.select(quoted(key)).distinct(), key, "left_semi")
+    """Rows whose key the other table has: a Bloom filter of its keys drops most of the rest before the exact join.
+
+    Keys too many for a filter of ``MOST_BITS`` are joined without one.
+    """
+    keys = other.select(quoted(key)).where(quoted(key).isNotNull())
+    expected = keys.agg(F.approx_count_distinct(quoted(key))).first()[0] * 11 // 10 + 1
+    left = df.where(bloom_filter(keys, key, expected).may_contain(quoted(key))) if 11 * expected <= MOST_BITS else df
+    return left.join(keys.distinct(), key, "left_semi")
 
 
 def cluster_blooms(df: DataFrame, key: str, member: str, bits: int = 1 << 12, hashes: int = 7) -> DataFrame:

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import math
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinworks.functions import calendars, hashes, scalars, vectors
-from skeinworks.functions.curves import register_curve
+from skeinworks.functions.curves import curve_rows, register_curve
 from skeinworks.operators import columns, grouping, lookup, reshape, rows
 from skeinworks.operators.rows import ROW
-from skeinworks.session import read_table, shared_folder
+from skeinworks.session import fits_broadcast, read_table, shared_folder
 from skeinworks.sources import records, text
 
 QUERIES: dict = {}
@@ -190,10 +192,10 @@ def group_nested(spark, d):
     return grouping.group_nested(e, "user_id").select("user_id", F.size("event_type").alias("n"), F.array_join("event_type", ",").alias("types"))
 
 
-@query("SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1")
+@query("SELECT o_orderstatus, string_agg(o_custkey, ',' ORDER BY o_orderkey) AS customers FROM orders GROUP BY 1")
 def group_like(spark, d):
     o = _orders(spark, d)
-    return grouping.group_like(o.select("o_orderstatus", "o_totalprice", ROW), o.select("o_orderstatus")).select("o_orderstatus", F.size("o_totalprice").alias("n"))
+    return grouping.group_like(o.select("o_orderstatus", "o_custkey", ROW), o.select("o_orderstatus")).select("o_orderstatus", F.array_join("o_custkey", ",").alias("customers"))
 
 
 for _name, _sql in (("sum", "round(sum({c}), 2)"), ("min", "min({c})"), ("max", "max({c})")):
@@ -311,19 +313,53 @@ def key_map_first(spark, d):
     return lookup.first_row_by(_orders(spark, d), "o_custkey").select("o_custkey", F.col(ROW).alias("row"))
 
 
-@query()
+# MD4 of the names NATION_0 to NATION_24, and of the key lists [NATION_0] to [NATION_24].
+_NAME_DIGESTS = (
+    "d9791ea2295ee81ce7f4d146a1244067 82aba7f75af9e44b47b22b00a3acf53b 4f793253127c17bc6fac72331da6adab "
+    "567e5b690d0d74e9c12e3809784d640f 8efb1f6b8efa5a787bdefb7105fb31e0 faf63cc048447eafd583ddda8ea6e107 "
+    "37f5041cc2dfedc64e251a3d89b76d3f 0df889284c387d4b39e6e71a6876acf4 cd74f51de5ca32d23d60de4a0dd3023e "
+    "0585d131904afff221caff7cc5e4ef3d ef36b246fa51c614aafcc19787b17c3e b042545866b856f059e498b4b9901738 "
+    "a528707d7470076f4acbf93714486d1a 991652c618abf6e5ad9120ef79714aed 868bac6fb6a231c6ba4fd2e0de200f92 "
+    "6b3e0ee9ca13d12037820730e77b1a3c 11a21e30fc3f042e91fff68e6b61441b 425270523c0e95fa5f3f480a62c3c5a0 "
+    "631263cce32812db18b0afe01a8260b9 2dd5efb75b87c2e117987d81a4ad9b36 e5d211ad25c6249ca7c47e7d8336a6b2 "
+    "84af376db79d3a4e9e656593e84d7213 66e2e11c57475c9c33b5c80c7669ddc8 3c16a86090d85f10b5422c1124aaf3d9 "
+    "66545624fb32beee6481a9e6e858b640 "
+).split()
+_KEY_DIGESTS = (
+    "59412dd8f116292402afc95a91c2ae99 dccd6868f1f8814bc4a3ea5142d277e6 040092626c2e96d835ca6b5d55a0cc33 "
+    "052605125d052c56c7e9866dfd564c05 805c1fd502de2474364ba54404d80954 17bee638f4aab55e416121df4cfce4dc "
+    "576e803e1fa069739535a795ecc8f1c6 fdab48353f89ed17d8abc615a6618d8c fe04c8eddc62e83216bf9040fbfb4027 "
+    "08cf14a8108597c7295e4a6a77c60b48 b0074488cecb075ff9b3f90f58171c4a dfc293e6d138912d3a799c843ba23f68 "
+    "d6c336c0ac00f276f828401e51ae9fbb cb5f70ce2439b3037798eb24d567239e bbc8764c198a284bade7b2f874c75536 "
+    "fc7b3419fb1f2f2b12af06057efc22a0 4c5aca3f9fc1a217276773d62772e4ae da9dd29b3619b93a59e633220fe3db1e "
+    "aba496a98ac84d9b2f89fedba61bfe57 24e3bb6f05afd6bd890959cd2dd3ceee a6f53595d4351232b1c9385d579b362f "
+    "38465bb53a99e82a571f2241c3e8ae16 961947baf2d5ef5e1e6b598a7a03e8c9 375d4438db2c4a1cf1ca78403be97555 "
+    "03612372cf8d5786d1b8a98adbb1414f "
+).split()
+
+
+def _digests(digests, column):
+    return "SELECT * FROM (VALUES " + ", ".join(f"({f'{chr(39)}NATION_{i}{chr(39)}' if column == 'n_name' else f'CAST({i} AS BIGINT)'}, '{x}')" for i, x in enumerate(digests)) + f") t({column}, digest)"
+
+
+@query(_digests(_KEY_DIGESTS, "row"))
 def md4_key(spark, d):
     return lookup.digest_row_by(_by(spark, d, "nation", "n_nationkey"), "n_name").select("digest", F.col(ROW).alias("row"))
 
 
-@query()
+@query(_digests(_NAME_DIGESTS, "n_name"))
 def md4_hex(spark, d):
     return read_table(spark, d, "nation").select("n_name", hashes.md4_hex(F.col("n_name")).alias("digest"))
 
 
-@query("SELECT p_brand || '/' || p_type AS path, min(r) AS row FROM (SELECT *, row_number() OVER (ORDER BY p_partkey) - 1 AS r FROM part) GROUP BY 1")
+@query("""WITH p AS (SELECT *, row_number() OVER (ORDER BY p_partkey) - 1 AS r FROM part)
+    SELECT p_brand || '/' || p_type || '/' || p_size AS path, min(r) AS row FROM p WHERE p_size < 20 GROUP BY 1
+    UNION ALL SELECT p_brand || '/' || p_type, min(r) FROM p GROUP BY p_brand, p_type HAVING min(p_size) >= 20""")
 def trie_lookup(spark, d):
-    leaves = lookup.trie_leaves(lookup.trie_paths(_by(spark, d, "part", "p_partkey"), "p_brand", "p_type"))
+    """Paths of one, two and three keys, many of them the beginning of others: only the ends are found."""
+    p = _by(spark, d, "part", "p_partkey")
+    paths = [lookup.trie_paths(p, "p_brand"), lookup.trie_paths(p, "p_brand", "p_type"), lookup.trie_paths(p.where("p_size < 20"), "p_brand", "p_type", "p_size")]
+    leaves = lookup.trie_leaves(paths[0].unionByName(paths[1]).unionByName(paths[2]))
     return leaves.select(F.array_join("path", "/").alias("path"), F.col(ROW).alias("row"))
 
 
@@ -341,12 +377,27 @@ def bloom_semijoin(spark, d):
     return lookup.bloom_semi_join(read_table(spark, d, "customer"), big, "c_custkey").select("c_custkey")
 
 
-@query("SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1")
+@query("SELECT count(*) AS n_members, true AS all_found, true AS few_false FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
+def bloom_members(spark, d):
+    """Every customer with an order is in the filter; of as many keys that nobody has, no more than the bound."""
+    keys = read_table(spark, d, "orders").select("o_custkey")
+    n = keys.select(F.approx_count_distinct("o_custkey")).first()[0] * 11 // 10
+    bloom = lookup.bloom_filter(keys, "o_custkey", n)
+    members = read_table(spark, d, "customer").join(keys.withColumnRenamed("o_custkey", "c_custkey"), "c_custkey", "left_semi")
+    asked = members.select(bloom.may_contain(F.col("c_custkey")).alias("found"), bloom.may_contain(F.col("c_custkey") + 1_000_000_007).alias("wrong"))
+    share = F.sum(F.col("wrong").cast("int")) / F.count(F.lit(1))
+    return asked.agg(F.count(F.lit(1)).alias("n_members"), F.every("found").alias("all_found"), (share <= 1.1 * math.exp(-(math.log(2) ** 2) * 11) + 0.02).alias("few_false"))
+
+
+@query("SELECT o_orderstatus, count(*) AS n, true AS few_false FROM orders GROUP BY 1")
 def bloom_clusters(spark, d):
-    o = _orders(spark, d)
-    blooms = lookup.cluster_blooms(o, "o_orderstatus", "o_custkey", bits=1 << 16)
-    hit = o.join(F.broadcast(blooms.select("o_orderstatus", "bloom")), "o_orderstatus").where(lookup.in_cluster_bloom(F.col("bloom"), F.col("o_custkey"), bits=1 << 16))
-    return hit.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+    """Members are in the filter of their cluster; keys that nobody has in hardly any."""
+    o, bits = _orders(spark, d), 1 << 18
+    blooms = lookup.cluster_blooms(o, "o_orderstatus", "o_custkey", bits=bits)
+    side = blooms.select("o_orderstatus", "bloom")
+    both = o.join(F.broadcast(side) if fits_broadcast(side, 200) else side, "o_orderstatus")
+    found = lambda key: lookup.in_cluster_bloom(F.col("bloom"), key, bits=bits).cast("long")
+    return both.groupBy("o_orderstatus").agg(F.sum(found(F.col("o_custkey"))).alias("n"), (F.avg(found(F.col("o_custkey") + 1_000_000_007)) < 0.02).alias("few_false"))
 
 
 _MM = "(x - min(x) OVER ()) / (max(x) OVER () - min(x) OVER ())"
@@ -358,10 +409,13 @@ def normalize_double(spark, d):
     return done.select("p_partkey", F.round(F.col("`normalized:p_retailprice`"), 6).alias("scaled"))
 
 
-@query("SELECT p_partkey, round(p_retailprice, 4) AS p_retailprice FROM part")
+@query(f"SELECT p_partkey, round({_MM} / 2 * (max(x) OVER () - min(x) OVER ()) + min(x) OVER (), 4) AS p_retailprice FROM (SELECT p_partkey, p_retailprice AS x FROM part)")
 def denormalize(spark, d):
-    done = reshape.denormalize(reshape.normalize(read_table(spark, d, "part").select("p_partkey", "p_retailprice"), "p_retailprice"), "p_retailprice")
-    return done.select("p_partkey", F.round("p_retailprice", 4).alias("p_retailprice"))
+    """Scaled values are halved before they are turned back, so the range of the column must come in."""
+    scaled = reshape.normalize(read_table(spark, d, "part").select("p_partkey", "p_retailprice"), "p_retailprice")
+    name = "normalized:p_retailprice"
+    halved = scaled.select("p_partkey", (F.col(f"`{name}`") / 2).alias(name, metadata=scaled.schema[name].metadata))
+    return reshape.denormalize(halved, "p_retailprice").select("p_partkey", F.round("p_retailprice", 4).alias("p_retailprice"))
 
 
 _SEGMENTS = "AUTOMOBILE BUILDING FURNITURE HOUSEHOLD MACHINERY".split()
@@ -398,28 +452,20 @@ def packed_booleans(spark, d):
     return reshape.packed_booleans(n)
 
 
-@query("SELECT pos - 1 AS pos, vec_id AS at, CAST(embedding[pos] AS DOUBLE) AS value FROM embeddings, generate_series(1, 4) g(pos)")
-def transpose_long(spark, d):
-    e = rows.numbered_by(read_table(spark, d, "embeddings"), "vec_id")
-    wide = e.select(ROW, *[F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(4)])
-    return reshape.transpose_cells(wide, [f"e{i}" for i in range(4)])
-
-
 @query("SELECT pos - 1 AS pos, vec_id AS at, CAST(embedding[pos] AS DOUBLE) AS value FROM embeddings, generate_series(1, len(embedding)) g(pos)")
 def transpose_long_all(spark, d):
-    """``transpose_long`` over all positions the data has."""
+    """Over all positions the data has."""
     e = rows.numbered_by(read_table(spark, d, "embeddings"), "vec_id")
     names = [f"e{i}" for i in range(e.agg(F.max(F.size("embedding"))).first()[0] or 0)]
     wide = e.select(ROW, *[F.get("embedding", F.lit(i)).cast("double").alias(n) for i, n in enumerate(names)])
     return reshape.transpose_cells(wide, names)
 
 
-@query("SELECT p - 1 AS pos, CAST(sum(CAST(CAST(embedding[p] AS DOUBLE) * 1000 AS BIGINT)) AS BIGINT) AS total FROM embeddings, generate_series(1, len(embedding)) g(p) GROUP BY p")
+@query("SELECT p - 1 AS pos, string_agg(CAST(round(CAST(embedding[p] AS DOUBLE) * 1000) AS BIGINT), ',' ORDER BY vec_id) AS thousandths FROM embeddings, generate_series(1, len(embedding)) g(p) GROUP BY p")
 def transpose_arrays(spark, d):
     e = rows.numbered_by(read_table(spark, d, "embeddings"), "vec_id")
-    whole = e.withColumn("embedding", F.transform("embedding", lambda x: F.rint(x.cast("double") * 1000).cast("long")))
-    done = reshape.transpose_arrays(whole, "embedding")
-    return done.select("pos", grouping.vector_sum(F.col("embedding"), "bigint").alias("total"))
+    whole = e.withColumn("embedding", F.transform("embedding", lambda x: F.round(x.cast("double") * 1000).cast("long")))
+    return reshape.transpose_arrays(whole, "embedding").select("pos", F.array_join("embedding", ",").alias("thousandths"))
 
 
 @query("SELECT n_nationkey, least(r // 6, 3) AS part FROM (SELECT *, row_number() OVER (ORDER BY n_nationkey) - 1 AS r FROM nation)")
@@ -455,10 +501,10 @@ def trailing_n(spark, d):
     return rows.trailing_values(rows.numbered_by(read_table(spark, d, "events"), "event_id"), "event_id", 3, "user_id").select("event_id", F.array_join(F.col("trailing").cast("array<string>"), ",").alias("trailing"))
 
 
-@query("SELECT event_id, coalesce(TRY_CAST(event_type AS DOUBLE), -1) AS a, coalesce(TRY_CAST(substr(CAST(value AS VARCHAR), 1, 3) AS FLOAT), 0) AS b FROM events")
+@query("SELECT event_id, coalesce(TRY_CAST(event_type AS DOUBLE), -1) AS a, coalesce(TRY_CAST(CAST(value AS VARCHAR) AS FLOAT), 0) AS b FROM events")
 def safe_cast_text(spark, d):
     e = read_table(spark, d, "events")
-    return e.select("event_id", scalars.to_double(F.col("event_type"), -1.0).alias("a"), scalars.to_float(F.substring(F.col("value").cast("string"), 1, 3)).alias("b"))
+    return e.select("event_id", scalars.to_double(F.col("event_type"), -1.0).alias("a"), scalars.to_float(F.col("value").cast("string")).alias("b"))
 
 
 @query("SELECT date_trunc('milliseconds', ts) AS ts, event_id FROM events")
@@ -473,29 +519,45 @@ def lenient_dates(spark, d):
     return read_table(spark, d, "orders").select("o_orderkey", calendars.lenient_date(t).alias("day"))
 
 
-@query("SELECT o_orderkey, CAST(o_orderkey % 5 AS BIGINT) AS n_days FROM orders")
+@query("SELECT o_orderkey, array_to_string(list_transform(range(0, o_orderkey % 5), lambda i: CAST(CAST(o_orderdate AS DATE) + CAST(i AS INTEGER) AS VARCHAR)), ',') AS days FROM orders")
 def day_sequence(spark, d):
     day = F.col("o_orderdate").cast("date")
-    return read_table(spark, d, "orders").select("o_orderkey", F.size(calendars.day_sequence(day, F.date_add(day, (F.col("o_orderkey") % 5).cast("int")))).cast("long").alias("n_days"))
+    days = calendars.day_sequence(day, F.date_add(day, (F.col("o_orderkey") % 5).cast("int")))
+    return read_table(spark, d, "orders").select("o_orderkey", F.array_join(days.cast("array<string>"), ",").alias("days"))
 
 
-def _calendar(name: str, sql_fields: bool = True):
-    shift = calendars.YEAR_SHIFT.get(name, 0)
+# First day (since 1970-01-01) of month 6 of the Hijrah year 1415, and the days of the months from it on, past 2001.
+_HIJRAH_FIRST, _HIJRAH_LENGTHS = 9074, (
+    "29 30 29 30 29 30 30 30 29 30 29 30 29 29 30 29 30 29 30 30 29 30 30 29 29 30 29 30 29 30 29 30 29 30 30 29 30 29 30 29 30 29 30 "
+    "29 30 29 30 29 30 29 30 30 30 29 29 29 30 29 29 30 29 30 30 30 30 29 30 29 29 30 29 29 29 30 30 30 30 29 30 30 29 29 30 29 29"
+)
+
 
+def _hijrah_sql() -> str:
+    months, first = [], _HIJRAH_FIRST
+    for i, days in enumerate(map(int, _HIJRAH_LENGTHS.split())):
+        months.append(f"({1415 + (5 + i) // 12}, {(5 + i) % 12 + 1}, {first}, {first + days})")
+        first += days
+    return f"""SELECT o_orderkey, CAST(isodow(x) AS INTEGER) AS day_of_week, CAST(n - a + 1 AS INTEGER) AS day_of_month, CAST((n - a) // 7 + 1 AS INTEGER) AS aligned_week_of_month, m AS month_of_year, y AS year
+        FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS x, CAST(o_orderdate AS DATE) - DATE '1970-01-01' AS n FROM orders) JOIN (VALUES {", ".join(months)}) t(y, m, a, z) ON n >= a AND n < z"""
+
+
+def _calendar(name: str):
     def run(spark, d):
         done = calendars.calendar_features(read_table(spark, d, "orders"), "o_orderdate", name, keep=("o_orderkey",))
         return done.select("o_orderkey", *[F.col(f"`{c}`").alias(c.split(":")[1].lower()) for c in done.columns[1:]])
 
     key = f"calendar_{name.lower().replace('buddhist', '')}"
     QUERIES[key] = run
-    if sql_fields:
+    if name == "Hijrah":
+        ORACLE[key] = _hijrah_sql()
+    else:
         week = "" if name == "Japanese" else "(day(x) - 1) // 7 + 1 AS aligned_week_of_month, "
-        ORACLE[key] = f"SELECT o_orderkey, isodow(x) AS day_of_week, day(x) AS day_of_month, {week}month(x) AS month_of_year, year(x) + {shift} AS year FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS x FROM orders)"
+        ORACLE[key] = f"SELECT o_orderkey, isodow(x) AS day_of_week, day(x) AS day_of_month, {week}month(x) AS month_of_year, year(x) + {calendars.YEAR_SHIFT[name]} AS year FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS x FROM orders)"
 
 
-for _c in ("Iso", "ThaiBuddhist", "Minguo", "Japanese"):
+for _c in ("Iso", "ThaiBuddhist", "Minguo", "Japanese", "Hijrah"):
     _calendar(_c)
-_calendar("Hijrah", sql_fields=False)
 
 
 @query("SELECT o_orderkey, o_custkey, o_totalprice, CAST(o_orderdate AS DATE) AS o_orderdate, o_orderpriority FROM orders")
@@ -541,22 +603,27 @@ def sparse_vector(spark, d):
     return read_table(spark, d, "embeddings").select("vec_id", *[F.get(sparse, F.lit(i)).alias(f"s{i}") for i in range(3)])
 
 
-@query("SELECT count(*) AS n, count(DISTINCT x * 1000 + y) AS n_distinct, CAST(sum(x) AS BIGINT) AS sx, CAST(sum(y) AS BIGINT) AS sy FROM generate_series(0, 30) a(x), generate_series(0, 17) b(y)")
-def gilbert(spark, d):
-    register_curve(spark)
-    return spark.sql("SELECT count(*) AS n, count(DISTINCT x * 1000 + y) AS n_distinct, sum(x) AS sx, sum(y) AS sy FROM space_curve(31, 18)")
+_RECTANGLES = ((31, 18), (24, 13), (2, 9), (50, 1))
+#: The place of a cell by its number: strips of eight lines, columns down and up, the last two of an even number together.
+_PLACES = """SELECT w, h, pos, CASE WHEN s % 2 = 1 THEN w - 1 - c ELSE c END AS x, s * 8 + l AS y FROM (SELECT w, h, pos, s,
+    CASE WHEN r < n * m THEN r // n WHEN (r - n * m) // 2 % 2 = 1 THEN m + 1 - (r - n * m) % 2 ELSE m + (r - n * m) % 2 END AS c,
+    CASE WHEN r >= n * m THEN (r - n * m) // 2 WHEN r // n % 2 = 1 THEN n - 1 - r % n ELSE r % n END AS l
+    FROM (SELECT *, pos - s * w * 8 AS r, least(8, h - s * 8) AS n, CASE WHEN w % 2 = 1 THEN w ELSE w - 2 END AS m
+    FROM (SELECT w, h, unnest(range(w * h)) AS pos, unnest(range(w * h)) // (w * 8) AS s FROM (VALUES (31, 18), (24, 13), (2, 9), (50, 1)) t(w, h))))"""
 
 
-_FEED = "k AS (SELECT date, deliver_qty, trim(channel, ' ') AS channel FROM caven20 WHERE date IN (SELECT date FROM calendar_days))"
+@query(_PLACES)
+def gilbert(spark, d):
+    """The table function; every position is compared."""
+    register_curve(spark)
+    return spark.sql(" UNION ALL ".join(f"SELECT {w} AS w, {h} AS h, pos, x, y FROM space_curve({w}, {h})" for w, h in _RECTANGLES))
 
 
-@query("""WITH days AS (SELECT CAST(unnest(generate_series(min(CAST(date AS TIMESTAMP)), max(CAST(date AS TIMESTAMP)), INTERVAL 1 DAY)) AS DATE) AS date FROM superannuated1909)
-    SELECT date, """ + ", ".join(f"round(coalesce(sum(CASE WHEN transmode = '{m}' THEN CAST(amount AS DOUBLE) END), 0), 1) AS amount_{i}" for i, m in enumerate(("CASH", "CARD"))) + " FROM days LEFT JOIN superannuated1909 USING (date) GROUP BY date")
-def sales_resample_pivot_sum(spark, d):
-    s = read_table(spark, d, "superannuated1909").select("date", F.when(F.col("transmode").isin("CASH", "CARD"), F.col("transmode")).alias("transmode"), F.col("amount").cast("double").alias("amount")).where("date IS NOT NULL")
-    done = reshape.pivot_sum(reshape.resample_daily(s, "date"), ["date"], ["transmode"], ["amount"])
-    label = lambda m: f"[transmode={m}]:amount"
-    return done.select("date", *[(F.round(F.col(f"`{label(m)}`"), 1) if label(m) in done.columns else F.lit(0.0)).alias(f"amount_{i}") for i, m in enumerate(("CASH", "CARD"))])
+@query(_PLACES)
+def gilbert_rows(spark, d):
+    """The same made in parallel, from each cell's number."""
+    parts = [curve_rows(spark, w, h).select(F.lit(w).alias("w"), F.lit(h).alias("h"), "pos", "x", "y") for w, h in _RECTANGLES]
+    return reduce(DataFrame.unionByName, parts)
 
 
 _MODES = ("?", "ACCT", "CARD", "CASH", "VOUCH")
@@ -565,7 +632,7 @@ _MODES = ("?", "ACCT", "CARD", "CASH", "VOUCH")
 @query("""WITH days AS (SELECT CAST(unnest(generate_series(min(CAST(date AS TIMESTAMP)), max(CAST(date AS TIMESTAMP)), INTERVAL 1 DAY)) AS DATE) AS date FROM superannuated1909)
     SELECT date, """ + ", ".join(f"round(coalesce(sum(CASE WHEN transmode = '{m}' THEN CAST(amount AS DOUBLE) END), 0), 1) AS \"amount_{m}\"" for m in _MODES) + " FROM days LEFT JOIN superannuated1909 USING (date) GROUP BY date")
 def sales_resample_pivot_sum_all(spark, d):
-    """``sales_resample_pivot_sum`` over all values of transmode the data has; its SQL must list them."""
+    """Over all values of transmode the data has; its SQL must list them."""
     s = read_table(spark, d, "superannuated1909").select("date", "transmode", F.col("amount").cast("double").alias("amount")).where("date IS NOT NULL")
     null_key = [] if s.where("transmode IS NULL").isEmpty() else ["null"]  # a kind of its own, unlike the null of added days
     done = reshape.pivot_sum(reshape.resample_daily(s, "date"), ["date"], ["transmode"], ["amount"], drop_null_key=not null_key)

@@ -91,6 +91,16 @@ def _to_records(batch: pa.RecordBatch, layout: Layout) -> bytes:
     return out.tobytes()
 
 
+def located(spark: SparkSession, path: str) -> str:
+    """A path with its scheme: that of the session's default file system where it names none."""
+    if "://" in path:
+        return path
+    jvm = spark._jvm
+    hadoop = jvm.org.apache.hadoop.fs.Path(path)
+    full = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
+    return full if "://" in full else full.replace(":/", ":///", 1)
+
+
 def write_records(df: DataFrame, path: str, *, widths: dict[str, int] | None = None, text_width: int = TEXT_WIDTH) -> Layout:
     """Write a table, in row order where there is one; an existing one is an error.
 
@@ -99,7 +109,7 @@ def write_records(df: DataFrame, path: str, *, widths: dict[str, int] | None = N
     the winners their final ones, so a repeated task leaves no records behind.
     """
     layout = layout_of(df, widths, text_width)
-    uri = path if "://" in path else f"file://{path}"
+    uri = located(df.sparkSession, path)
     fs, base = FileSystem.from_uri(uri)
     if fs.get_file_info(f"{base}/table.meta").type != FileType.NotFound:
         raise FileExistsError(path)
@@ -131,24 +141,26 @@ def write_records(df: DataFrame, path: str, *, widths: dict[str, int] | None = N
     return layout
 
 
-def read_layout(path: str) -> Layout:
+def read_layout(spark: SparkSession, path: str) -> Layout:
     """The schema of a table folder or of a single record file."""
-    fs, base = FileSystem.from_uri(path if "://" in path else f"file://{path}")
+    fs, base = FileSystem.from_uri(located(spark, path))
     meta = f"{base}/table.meta" if fs.get_file_info(base).type == FileType.Directory else f"{base}.meta"
     with fs.open_input_stream(meta) as f:
         return Layout.parse(f.read().decode())
 
 
-def read_records(spark: SparkSession, path: str, columns: Sequence[str] | None = None, *, exact_instants: bool = False) -> DataFrame:
+def read_records(spark: SparkSession, path: str, columns: Sequence[str] | None = None, *, layout: Layout | None = None, exact_instants: bool = False) -> DataFrame:
     """Read a table with ``__row``; only ``columns`` are decoded.
 
+    ``layout`` describes files that have no side-car schema, or overrules theirs.
+
     Names that occur again get a number behind them.  Instants are timestamps of
     microseconds, or with ``exact_instants`` structs of seconds and nanoseconds.  A last
     record that is cut off is left out.  Files are read in stretches of whole records.
     """
-    uri = path if "://" in path else f"file://{path}"
+    uri = located(spark, path)
     fs, base = FileSystem.from_uri(uri)
-    layout = read_layout(path)
+    layout = layout or read_layout(spark, path)
     names: list[str] = []
     for n, *_ in layout.columns:
         k, name = 1, n

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skeinworks.functions.scalars import CODECS
 from skeinworks.operators.rows import ROW
@@ -35,20 +36,23 @@ def read_fixed_width(spark: SparkSession, path: str, columns: Sequence[tuple[str
 
 
 def read_csv_lines(spark: SparkSession, path: str, types: dict[str, str] | None = None) -> DataFrame:
-    """Lines split at commas, with a header and without quoting.
+    """Lines split at commas, with a header in every file and without quoting.
 
     Blanks around a comma go; commas beyond the last column stay in the last field.
-    Columns are text unless ``types`` names another.
+    Columns are text unless ``types`` names another.  The first line of each file is its
+    header, and only that; a file with another header than the rest is an error, as is
+    a folder without any line.  Blank lines are none.
     """
     types = types or {}
-    head = _lines(spark, path).limit(1).first()
+    head = _lines(spark, path).where(F.col("_metadata.file_block_start") == 0).limit(1).first()
     if head is None:
         raise ValueError("an empty file has no header")
     names = [n.strip() for n in head[0].split(",")]
-    text = F.col("value")
-    cells = F.split(text, r"\s*,\s*", len(names))
-    rows = _lines(spark, path).where(text != F.lit(head[0]))
-    return rows.select(*[CODECS[types.get(n, "IoString")].text(F.trim(F.get(cells, F.lit(i)))).alias(n) for i, n in enumerate(names)])
+    # Spark's own reader takes the header off each file and compares it; a line is one cell to it.
+    whole = T.StructType([T.StructField(head[0], T.StringType())])
+    lines = spark.read.schema(whole).csv(path, header=True, enforceSchema=False, sep="\uffff", quote="", escape="").toDF("value")
+    cells = F.split("value", r"\s*,\s*", len(names))
+    return lines.select(*[CODECS[types.get(n, "IoString")].text(F.trim(F.get(cells, F.lit(i)))).alias(n) for i, n in enumerate(names)])
 
 
 def csv_cell(c: Column, kind: str) -> Column:
@@ -61,7 +65,10 @@ def csv_cell(c: Column, kind: str) -> Column:
 
 
 def write_csv_lines(df: DataFrame, path: str, *, single_file: bool = False) -> None:
-    """Comma-separated lines with a header in every file, in row order where there is one."""
+    """Comma-separated lines with a header in every file, in row order where there is one.
+
+    An empty table becomes a file with the header alone.
+    """
     columns = [(n, k) for n, k in df.dtypes if n != ROW]
     rows = df.orderBy(ROW) if ROW in df.columns else df
     line = F.concat_ws(",", *[csv_cell(quoted(n), k) for n, k in columns])
@@ -69,18 +76,8 @@ def write_csv_lines(df: DataFrame, path: str, *, single_file: bool = False) -> N
     if single_file:
         out = out.coalesce(1)
     header = ",".join(n for n, _ in columns)
-
-    def with_header(batches):
-        import pyarrow as pa
-
-        first = True
-        for b in batches:
-            if first and b.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array([header])], schema=b.schema)
-                first = False
-            yield b
-
-    out.mapInArrow(with_header, "value string").write.mode("overwrite").text(path)
+    # A line is one cell to Spark's writer, which puts the header first.
+    out.toDF(header).write.mode("overwrite").csv(path, header=True, sep="\uffff", quote="", escape="", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from skeinworks.functions import calendars, hashes, scalars, vectors
-from skeinworks.functions.curves import curve
+from skeinworks.functions.curves import curve, curve_rows
 from skeinworks.operators import columns, grouping, lookup, reshape, rows
 from skeinworks.operators.rows import ROW
 from skeinworks.sources import raster, records, text
@@ -151,6 +151,9 @@ def test_scaling(spark):
 
 def test_hashes():
     assert hashes.md4(b"test") == "db346d691d7acc4dc2625db19f9e3f52" and hashes.md4(b"1") == "8be1ec697b14ad3a53b371436120641d"
+    # The digests of the standard's own examples.
+    examples = {"": "31d6cfe0d16ae931b73c59d7e0c089c0", "a": "bde52cb31de33e46245e05fbdbd6fb24", "abc": "a448017aaf21d8525fc10ae87aa6729d", "message digest": "d9130a8164549fe818874806e1c7014b"}
+    assert hashes.md4_many([x.encode() for x in examples]) == list(examples.values())
     assert hashes.md4(b"") == "31d6cfe0d16ae931b73c59d7e0c089c0" and len({hashes.md4(b"a" * n) for n in range(130)}) == 130
 
 
@@ -159,22 +162,43 @@ def test_hashes():
 def test_curve(w, h):
     cells = list(curve(w, h))
     assert sorted(cells) == [(x, y) for x in range(w) for y in range(h)]
-    assert all((a - c) ** 2 + (b - e) ** 2 <= 4 for (a, b), (c, e) in zip(cells, cells[1:]))
+    assert all((a - c) ** 2 + (b - e) ** 2 <= 2 for (a, b), (c, e) in zip(cells, cells[1:]))
+
+
+@pytest.mark.parametrize("w, h", [(1, 1), (2, 19), (7, 8), (31, 18), (40, 33)])
+def test_curve_rows(spark, w, h):
+    assert [(r["x"], r["y"]) for r in curve_rows(spark, w, h).orderBy("pos").collect()] == list(curve(w, h))
 
 
 def test_trie(spark):
-    df = spark.createDataFrame([(0, ["a", "b", "c"]), (1, ["a", "b"]), (2, ["a", "b", "d", "e"])], f"{ROW} long, path array<string>")
-    assert {tuple(r["path"]) for r in lookup.trie_leaves(df).collect()} == {("a", "b", "c"), ("a", "b", "d", "e")}
-    assert lookup.trie_find(df, ["a", "b"]).count() == 1 and lookup.trie_prefix(df, ["a", "b"]).count() == 3
+    df = spark.createDataFrame([(0, ["up", "left", "far"]), (1, ["up", "left"]), (2, ["up", "left", "near", "by"]), (3, ["down"])], f"{ROW} long, path array<string>")
+    assert {tuple(r["path"]) for r in lookup.trie_leaves(df).collect()} == {("up", "left", "far"), ("up", "left", "near", "by"), ("down",)}
+    assert lookup.trie_find(df, ["up", "left"]).count() == 1 and lookup.trie_prefix(df, ["up", "left"]).count() == 3
 
 
 def test_bloom(spark):
     bloom = lookup.bloom_filter(spark.range(20_000), "id", 20_000)
-    assert all(lookup.bloom_may_contain(bloom, range(0, 20_000, 97)))
-    wrong = sum(lookup.bloom_may_contain(bloom, range(100_000, 110_000)))
-    assert wrong / 10_000 <= 1.10 * math.exp(-(math.log(2) ** 2) * 11) + 0.003
-    both = lookup.merge_blooms(bloom, lookup.bloom_filter(spark.range(50_000, 50_010), "id", 20_000))
-    assert all(lookup.bloom_may_contain(both, [3, 50_005]))
+    asked = lambda b, df: df.where(b.may_contain(F.col("id"))).count()
+    assert asked(bloom, spark.range(20_000)) == 20_000
+    assert asked(bloom, spark.range(100_000, 200_000)) / 100_000 <= 1.10 * math.exp(-(math.log(2) ** 2) * 11) + 0.002
+    both = bloom.merged(lookup.bloom_filter(spark.range(50_000, 50_010), "id", 20_000))
+    assert asked(both, spark.range(20_000)) == 20_000 and asked(both, spark.range(50_000, 50_010)) == 10
+    with pytest.raises(ValueError):
+        bloom.merged(lookup.bloom_filter(spark.range(10), "id", 10))
+    with pytest.raises(ValueError):
+        lookup.bloom_filter(spark.range(10), "id", lookup.MOST_BITS)
+
+
+def test_bloom_semi_join(spark, monkeypatch):
+    left = spark.createDataFrame([(i % 50 if i % 7 else None, i) for i in range(1000)], "k int, v int")
+    right = spark.createDataFrame([(i,) for i in (3, 3, 7, 99)] + [(None,)], "k int")
+    want = sorted(tuple(r) for r in left.where("k IN (3, 7)").collect())
+    joined = lookup.bloom_semi_join(left, right, "k")
+    assert "might_contain" in joined._jdf.queryExecution().toString()
+    assert sorted(tuple(r) for r in joined.collect()) == want
+    assert lookup.bloom_semi_join(left, right.limit(0), "k").count() == 0
+    monkeypatch.setattr(lookup, "MOST_BITS", 4)  # too many keys for a filter: joined without one
+    assert sorted(tuple(r) for r in lookup.bloom_semi_join(left, right, "k").collect()) == want
 
 
 def test_cluster_blooms(spark):
@@ -191,7 +215,16 @@ def test_calendars(spark):
     assert calendars.calendar_features(df, "d", "ThaiBuddhist").first()[4] == 2560
     assert calendars.calendar_features(df, "d", "Minguo").first()[4] == 106
     h = calendars.calendar_features(df, "d", "Hijrah").first()
-    assert (h["Hijrah:YEAR"], h["Hijrah:MONTH_OF_YEAR"], h["Hijrah:DAY_OF_MONTH"]) == (1439, 1, 23)
+    assert (h["Hijrah:YEAR"], h["Hijrah:MONTH_OF_YEAR"], h["Hijrah:DAY_OF_MONTH"], h["Hijrah:DAY_OF_WEEK"], h["Hijrah:ALIGNED_WEEK_OF_MONTH"]) == (1439, 1, 23, 5, 4)
+    days = spark.createDataFrame([(D(2022, 7, 30) + dt.timedelta(days=97 * i),) for i in range(60)] + [(None,), (D(1800, 1, 1),), (D(9999, 1, 1),)], "d date")
+    of = spark._jvm.java.time.chrono.HijrahDate
+    field = spark._jvm.java.time.temporal.ChronoField
+    for r in calendars.calendar_features(days, "d", "Hijrah", keep=("d",)).collect():
+        if r["d"] is None or not 1882 < r["d"].year < 2174:
+            assert tuple(r)[1:] == (None,) * 5
+        else:
+            jvm = getattr(of, "from")(spark._jvm.java.time.LocalDate.parse(str(r["d"])))
+            assert list(r)[1:] == [int(jvm.getLong(field.valueOf(n))) for n in calendars.FIELDS]
     same = spark.range(1).select(calendars.day_sequence(F.lit(D(2020, 1, 1)), F.lit(D(2020, 1, 1))), calendars.day_sequence(F.lit(D(2020, 1, 1)), F.lit(D(2020, 1, 3)))).first()
     assert same[0] == [] and same[1] == [D(2020, 1, 1), D(2020, 1, 2)]
 
@@ -234,6 +267,9 @@ def test_duplicate_names(spark, tmp_path):
     (tmp_path / "x.bin").write_bytes(struct.pack(">iiii", 1, 2, 3, 4) + b"cut")
     (tmp_path / "x.bin.meta").write_text(layout.text())
     assert [tuple(r) for r in records.read_records(spark, str(tmp_path / "x.bin")).orderBy(ROW).collect()] == [(1, 2, 0), (3, 4, 1)]
+    (tmp_path / "bare.bin").write_bytes(struct.pack(">iiii", 1, 2, 3, 4))
+    own = records.Layout((("n", "IoLong", 0, 8),))
+    assert [tuple(r) for r in records.read_records(spark, f"file://{tmp_path}/bare.bin", layout=own).orderBy(ROW).collect()] == [((1 << 32) + 2, 0), ((3 << 32) + 4, 1)]
 
 
 def test_csv(spark, tmp_path):
@@ -245,6 +281,24 @@ def test_csv(spark, tmp_path):
     assert [r[0] for r in spark.read.text(str(tmp_path / "out")).collect()] == ["i,b,s,d", ",1,null,1.5", "3,,t,"]
 
 
+def test_csv_headers(spark, tmp_path):
+    """Only the first line of each file is its header, however often its text stands below."""
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "1.csv").write_text('a,b\n1,2\na,b\n"3, 4"\n')
+    (tmp_path / "in" / "2.csv").write_text("a,b\n 5,6 \n")
+    got = sorted(tuple(r) for r in text.read_csv_lines(spark, str(tmp_path / "in")).collect())
+    assert got == [('"3', '4"'), ("1", "2"), ("5", "6"), ("a", "b")]
+    (tmp_path / "in" / "3.csv").write_text("b,a\n7,8\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        text.read_csv_lines(spark, str(tmp_path / "in")).collect()
+    empty = spark.createDataFrame([], "x int, y string")
+    text.write_csv_lines(empty, str(tmp_path / "empty"), single_file=True)
+    assert text.read_csv_lines(spark, str(tmp_path / "empty")).columns == ["x", "y"] and text.read_csv_lines(spark, str(tmp_path / "empty")).count() == 0
+    odd = spark.createDataFrame([(0, ' a "q" \\ b', "\u20ac"), (1, None, "")], f"{ROW} long, x string, y string")
+    text.write_csv_lines(odd, str(tmp_path / "odd"), single_file=True)
+    assert [r[0] for r in spark.read.text(str(tmp_path / "odd")).collect()] == ["x,y", ' a "q" \\ b,\u20ac', "null,"]
+
+
 def test_raster(spark, tmp_path):
     def chunk(kind, body):
         return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
