@@ -1,4 +1,8 @@
-"""Arrays as vectors: thin names for what the column functions do."""
+"""Arrays as vectors: what the column functions do under one set of names and rules.
+
+Indices begin at 0, an index out of range gives null, and lengths follow the rule of
+each function (the left, the shorter) instead of padding.
+"""
 
 from __future__ import annotations
 
@@ -88,6 +92,48 @@ def to_map(pairs: Column) -> Column:
     return F.map_from_entries(pairs)
 
 
-def matrix_get(m: Column, i: int, j: int) -> Column:
-    """Element of a nested array."""
-    return F.get(F.get(m, F.lit(i)), F.lit(j))
+def matrix_at(m: Column, *indices: int) -> Column:
+    """Element of an array nested as deep as there are indices."""
+    for i in indices:
+        m = F.get(m, F.lit(i))
+    return m
+
+
+def vector(*values) -> Column:
+    """An array of values or columns."""
+    return F.array(*[v if isinstance(v, Column) else F.lit(v) for v in values])
+
+
+def mapping(**values) -> Column:
+    """A map of named values or columns."""
+    return F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v if isinstance(v, Column) else F.lit(v))])
+
+
+def tuple_of(*values: Column) -> Column:
+    """A struct with the fields ``a``, ``b``, ``c``, ..."""
+    return F.struct(*[v.alias("abcdefghijklmnopqrstuvwxyz"[i]) for i, v in enumerate(values)])
+
+
+def swapped(pair: Column) -> Column:
+    """A pair the other way round."""
+    return F.struct(pair["b"].alias("a"), pair["a"].alias("b"))
+
+
+def negated(pair: Column) -> Column:
+    """A pair of numbers with both signs turned."""
+    return F.struct((-pair["a"]).alias("a"), (-pair["b"]).alias("b"))
+
+
+def letters(text: Column) -> Column:
+    """The characters of a text as an array; of an empty one, none."""
+    return F.filter(F.split(text, ""), lambda c: c != "")
+
+
+def as_set(a: Column) -> Column:
+    """Distinct elements, in the order in which they first stand."""
+    return F.array_distinct(a)
+
+
+def bit_places(number: Column) -> Column:
+    """The places of the bits that are set in a number, from the lowest."""
+    return F.filter(F.sequence(F.lit(0), F.lit(62)), lambda i: F.call_function("shiftright", number.cast("long"), i).bitwiseAND(F.lit(1)) == 1)

@@ -131,3 +131,10 @@ def in_cluster_bloom(bloom: Column, member: Column, bits: int = 1 << 12, hashes:
         word = F.get(bloom, F.floor(place / 64).cast("int"))
         out = out & (word.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))) != 0)
     return out
+
+
+def sorted_map(keys: Column, values: Column) -> Column:
+    """A map with its keys in order, from an array of each; of equal keys the last wins."""
+    pairs = F.arrays_zip(keys.alias("k"), values.alias("v"))
+    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
+    return F.map_from_entries(F.array_sort(last))

@@ -81,3 +81,50 @@ def regular_series(df: DataFrame, entity: str, day: str, value: str, *, cell_day
         (F.col("held") / F.col("lasts")).alias("coverage"),
         F.when(F.col("here") > 0, "observed").when(F.col("held") > 0, "filled").otherwise("missing").alias("state"),
     )
+
+
+def regular_series_in_time(df: DataFrame, entity: str, at: str, value: str, *, cell_seconds: int, hold_seconds: int | None = None) -> DataFrame:
+    """``regular_series`` of readings with a time of day, in cells of any number of seconds.
+
+    A reading holds from its instant until the next one of its entity, at most
+    ``hold_seconds``; the last one until its cell ends.  Cells are counted from
+    1970-01-01T00:00Z.  Readings of one instant are averaged.  Columns and the rule for
+    nulls, NaN and empty tables are those of ``regular_series``; ``cell_start`` is a
+    timestamp.
+
+    An entity may hold any part of all rows: what follows a reading is looked for within
+    its day, and only the first readings of the days are put in order over an entity.
+    """
+    if cell_seconds < 1 or (hold_seconds is not None and hold_seconds < 1):
+        raise ValueError("cell_seconds and hold_seconds must be positive")
+    df = only(df, entity, at, value)
+    size, day = cell_seconds * 1_000_000, 86_400_000_000
+    div = lambda c, by: F.expr(f"({c} - pmod({c}, {by})) div {by}")
+    number = quoted(value).cast("double")
+    readings = (
+        df.select(F.trim(quoted(entity).cast("string")).alias("e"), F.unix_micros(quoted(at).cast("timestamp")).alias("t"), F.when(~F.isnan(number), number).alias("v"))
+        .where("e IS NOT NULL AND t IS NOT NULL")
+        .groupBy("e", "t")
+        .agg(F.avg("v").alias("v"), F.count(F.lit(1)).alias("n"))
+        .withColumn("d", div("t", day))
+    )
+    days = readings.groupBy("e", "d").agg(F.min("t").alias("t"))
+    following = days.select("e", "d", F.lead("t").over(Window.partitionBy("e").orderBy("d")).alias("after"))
+    within = F.lead("t").over(Window.partitionBy("e", "d").orderBy("t"))
+    cut = readings.withColumn("within", within).join(following, ["e", "d"]).withColumn("z", F.coalesce("within", "after", (div("t", size) + 1) * size))
+    held = F.col("z") if hold_seconds is None else F.least(F.col("z"), F.col("t") + hold_seconds * 1_000_000)
+    cells = cut.withColumn("b", F.when(F.col("v").isNotNull(), held).otherwise(F.col("t"))).withColumn("last", F.col("z") - 1)
+    cells = cells.withColumn("cell", F.explode(F.sequence(div("t", size), div("last", size))))
+    low, high = F.greatest("t", F.col("cell") * size), (F.col("cell") + 1) * size
+    parts = cells.select(
+        "e", "cell", "v", F.greatest(F.lit(0), F.least("b", high) - low).alias("held"), (F.least("z", high) - low).alias("lasts"), F.when(F.col("t") >= F.col("cell") * size, F.col("n")).otherwise(0).alias("here")
+    )
+    summed = parts.groupBy("e", "cell").agg(F.sum(F.when(F.col("held") > 0, F.col("v") * F.col("held"))).alias("mass"), F.sum("held").alias("held"), F.sum("lasts").alias("lasts"), F.sum("here").alias("here"))
+    return summed.select(
+        F.col("e").alias(entity),
+        F.timestamp_micros(F.col("cell") * size).alias("cell_start"),
+        F.col("here").alias("n_rows"),
+        F.try_divide("mass", F.col("held")).alias("value"),
+        (F.col("held") / F.col("lasts")).alias("coverage"),
+        F.when(F.col("here") > 0, "observed").when(F.col("held") > 0, "filled").otherwise("missing").alias("state"),
+    )

@@ -7,7 +7,7 @@ without gaps) says it; operators here read or make it.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -182,3 +182,31 @@ def trailing_values(df: DataFrame, column: str, n: int, *by: str, name: str = "t
     """For each row the values of the last n rows of its group, oldest first, nulls kept."""
     frame = Window.partitionBy(*[quoted(b) for b in by]).orderBy(ROW).rowsBetween(-(n - 1), 0)
     return df.withColumn(name, F.transform(F.collect_list(F.struct(quoted(column).alias("v"))).over(frame), lambda x: x["v"]))
+
+
+def sample_rows(df: DataFrame, n: int, seed: int = 5) -> DataFrame:
+    """``n`` rows chosen at random, the same ones for the same seed; all if there are fewer."""
+    return df.orderBy(F.xxhash64(F.lit(seed), F.col(ROW))).limit(n)
+
+
+def as_lines(df: DataFrame) -> list[str]:
+    """What ``show`` prints: how many rows there are and their columns, then the cells of each row."""
+    names = [c for c in df.columns if c != ROW]
+    ordered_ = df.orderBy(ROW) if ROW in df.columns else df
+    return [f"rows: {df.count()} {names}", *(str([r[c] for c in names]) for r in ordered_.collect())]
+
+
+def show(df: DataFrame, first: int = 0, end: int | None = None) -> None:
+    """Print the rows ``first`` up to, not including, ``end``; meant for few."""
+    print(*as_lines(df.where(F.col(ROW) >= first) if end is None else slice_rows(df, first, end)), sep="\n")
+
+
+def compose(*steps: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    """One step that runs all, the first given first."""
+
+    def run(df: DataFrame) -> DataFrame:
+        for step in steps:
+            df = df.transform(step)
+        return df
+
+    return run

@@ -131,6 +131,39 @@ def test_regular_cells(spark):
     assert regular.regular_series(df.limit(0), "c", "d", "v").collect() == []
 
 
+def test_regular_in_time(spark):
+    """Time-weighted within a cell, over midnight, to the end of the hold; against the function of seconds it stands for."""
+    rng, hour = random.Random(5), 3600
+    rows = [(rng.choice(["a", "a", "a", " b "]), rng.randrange(0, 12 * 24) * 900 - 86_400, rng.choice([1.0, 2.0, 5.0, None, math.nan])) for _ in range(60)]
+    df = spark.createDataFrame(rows, "e string, s long, v double").selectExpr("e", "timestamp_seconds(s) AS at", "v", "1 AS cell", "2 AS t").repartition(3)
+    got = {(r["e"], int(r["cell_start"].replace(tzinfo=dt.timezone.utc).timestamp())): r for r in regular.regular_series_in_time(df, "e", "at", "v", cell_seconds=6 * hour, hold_seconds=5 * hour).collect()}
+    want = {}
+    for e in ("a", "b"):
+        taken = defaultdict(list)
+        for k, s, v in rows:
+            if k.strip() == e:
+                taken[s].append(v)
+        times = sorted(taken)
+        for s, after in zip(times, [*times[1:], (times[-1] // (6 * hour) + 1) * 6 * hour]):
+            real = [v for v in taken[s] if v is not None and not math.isnan(v)]
+            value = sum(real) / len(real) if real else None
+            for q in range(s, after, 900):
+                c = want.setdefault((e, q // (6 * hour) * 6 * hour), [0, 0.0, 0, 0])
+                c[0] += len(taken[s]) if q == s else 0
+                c[3] += 900
+                if value is not None and q < s + 5 * hour:
+                    c[1] += value * 900
+                    c[2] += 900
+    assert got.keys() == want.keys()
+    for k, (n, mass, held, lasts) in want.items():
+        r = got[k]
+        assert r["n_rows"] == n and math.isclose(r["coverage"], held / lasts) and r["state"] == ("observed" if n else "filled" if held else "missing")
+        assert (r["value"] is None) == (held == 0) and (held == 0 or math.isclose(r["value"], mass / held))
+    assert regular.regular_series_in_time(df.limit(0), "e", "at", "v", cell_seconds=60).collect() == []
+    with pytest.raises(ValueError):
+        regular.regular_series_in_time(df, "e", "at", "v", cell_seconds=0)
+
+
 # ---- records
 
 CSV, FWF = problems.LAYOUTS["csv"], problems.LAYOUTS["fwf"]
