@@ -19,12 +19,14 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from multiprocessing.pool import ThreadPool
 
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinworks.session import fits_broadcast, only, quoted, spread, stage
+from skeinworks.session import only, quoted, stage
 
 # Encodings a text may have been written in, and ones it may be read in.
 WRITTEN = ("utf-8", "cp1252", "cp1250", "iso8859-2", "cp1251", "koi8-r", "cp866", "iso8859-5", "mac_roman", "mac_cyrillic", "cp437", "cp850", "cp852")
@@ -156,8 +158,8 @@ def _core(token: str) -> str:
     return token.lstrip(OPENING).rstrip(CLOSING)
 
 
-def clean_words(tokens: DataFrame) -> DataFrame:
-    """(``word``, ``n``): words of the tokens that look intact, with the texts they stand in.
+def split_tokens(tokens: DataFrame) -> DataFrame:
+    """(``word``, ``n``) of the words of the tokens that look intact, and (``token``, ``n``, ``part``, ``looks_clean``) of the parts of all tokens that may be garbled.
 
     Words of three letters or more come with the signs beside or inside them too
     (quotes, apostrophes, dots), as a garbled sign is found by its word; so do signs with
@@ -166,18 +168,18 @@ def clean_words(tokens: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            words, counts = [], []
+            rows = []
             for token, n in zip(b["token"], b["n_docs"]):
                 pieces = clean_pieces(token)
                 if pieces or sign_of(token):
                     whole = {_core(token), token} if not pieces or sum(map(len, pieces)) >= LETTERS else set()
-                    for w in whole.union(pieces or ()):
-                        if len(w) > 1 and not w.isascii():
-                            words.append(w)
-                            counts.append(n)
-            yield pd.DataFrame({"word": words, "n": counts})
+                    rows += [(None, n, None, None, w) for w in whole.union(pieces or ()) if len(w) > 1 and not w.isascii()]
+                parts = {token, _core(token)}
+                parts |= set(pieces) if pieces is not None else {token.strip(OPENING + CLOSING), *_beside.split(token)}
+                rows += [(token, n, p, clean_pieces(p) is not None, None) for p in parts if len(p) > 1 and not p.isascii()]
+            yield pd.DataFrame(rows, columns=["token", "n_docs", "part", "looks_clean", "word"])
 
-    return tokens.mapInPandas(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return tokens.mapInPandas(run, "token string, n_docs bigint, part string, looks_clean boolean, word string")
 
 
 def form_table(words: DataFrame) -> DataFrame:
@@ -189,7 +191,8 @@ def form_table(words: DataFrame) -> DataFrame:
                 rows = [(form, w, chain, n, plain_word(w)) for w, n in zip(b["word"][at : at + 500], b["n"][at : at + 500]) for form, chain in garbled_forms(w).items() if form.casefold() != w.casefold()]
                 yield pd.DataFrame(rows, columns=["form", "original", "chain", "n", "bare"])
 
-    return spread(words).mapInPandas(run, "form string, original string, chain string, n bigint, bare boolean")
+    tasks = max(words.sparkSession.sparkContext.defaultParallelism, int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return words.repartition(tasks).mapInPandas(run, "form string, original string, chain string, n bigint, bare boolean")
 
 
 def character_forms(words: DataFrame, tokens: DataFrame) -> tuple[dict[str, str], set[str]]:
@@ -232,9 +235,8 @@ def undo_characters(token: str, forms: dict[str, str], longest: int) -> tuple[st
 
 def _small(df: DataFrame, column: str) -> DataFrame:
     """``df``, marked for broadcast if it is known to be small."""
-    if fits_broadcast(df, BROADCAST_ROWS) and (df.agg(F.sum(F.length(column))).first()[0] or 0) <= BROADCAST_CHARACTERS:
-        return F.broadcast(df)
-    return df
+    rows, characters = df.agg(F.count(F.lit(1)), F.sum(F.length(column))).first()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and (characters or 0) <= BROADCAST_CHARACTERS else df
 
 
 def coherent_forms(texts: DataFrame, parts: DataFrame, forms: DataFrame) -> DataFrame:
@@ -261,26 +263,18 @@ def garbled_tokens(texts: DataFrame) -> DataFrame:
     or ``lost`` (a sign no intact text has, and nothing that explains it).
     """
     tokens = stage(token_counts(texts))
-    words = stage(clean_words(tokens))
-    characters, known = character_forms(words, tokens)
+    split = stage(split_tokens(tokens))
+    words = split.where("word IS NOT NULL").groupBy("word").agg(F.sum("n_docs").alias("n"))
+    parts = split.where("part IS NOT NULL").select("token", "n_docs", "part", "looks_clean")
+    with ThreadPool(1) as beside:  # the few characters come to the driver while the forms are made
+        single = beside.apply_async(inheritable_thread_target(tokens.sparkSession)(character_forms), (words, tokens))
+        forms = stage(
+            parts.groupBy("part")
+            .agg(F.sum("n_docs").alias("own"))
+            .join(form_table(words).withColumnRenamed("form", "part").hint("shuffle_hash"), "part")  # its size grows with the corpus: never broadcast
+        )
+        characters, known = single.get()
     longest = max(map(len, characters))
-
-    def pieces_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for token, n in zip(b["token"], b["n_docs"]):
-                pieces = clean_pieces(token)
-                parts = {token, _core(token)}
-                parts |= set(pieces) if pieces is not None else {token.strip(OPENING + CLOSING), *_beside.split(token)}
-                rows += [(token, n, p, clean_pieces(p) is not None) for p in parts if len(p) > 1 and not p.isascii()]
-            yield pd.DataFrame(rows, columns=["token", "n_docs", "part", "looks_clean"])
-
-    parts = stage(tokens.mapInPandas(pieces_of, "token string, n_docs bigint, part string, looks_clean boolean"))
-    forms = stage(
-        parts.groupBy("part")
-        .agg(F.sum("n_docs").alias("own"))
-        .join(form_table(words).withColumnRenamed("form", "part").hint("shuffle_hash"), "part")  # its size grows with the corpus: never broadcast
-    )
     confirmed = stage(coherent_forms(texts, parts, forms))
     # A word that is itself such a form is nobody's original: else the sense turns round where garbled texts are many.
     garbled_words = confirmed.where("looks_clean").select(F.col("part").alias("original")).distinct()
