@@ -49,7 +49,8 @@ def group_reduce(df: DataFrame, keys: Sequence[str], reducer: str | Callable[[Co
     """Fold the other columns per key.
 
     A named reducer aggregates on the map side first.  A function ``(so far, value)``
-    folds the values in row order, beginning with null.
+    folds the values in row order, beginning with null, and needs a group in memory;
+    where partial results can be merged, ``group_fold`` does not.
     """
     columns = [c for c in df.columns if c not in keys and c != ROW] if columns is None else list(columns)
     if isinstance(reducer, str):
@@ -59,6 +60,34 @@ def group_reduce(df: DataFrame, keys: Sequence[str], reducer: str | Callable[[Co
     return nested.select(*[quoted(k) for k in keys], *[F.aggregate(quoted(c), F.lit(None).cast(types[c]), reducer).alias(c) for c in columns])
 
 
+def group_fold(df: DataFrame, keys: Sequence[str], step: Callable[[Column, Column], Column], merge: Callable[[Column, Column], Column], columns: Sequence[str] | None = None, *, bucket_rows: int = 10_000) -> DataFrame:
+    """Fold the other columns per key with any function whose partial results can be merged.
+
+    ``step(so far, value)`` folds the values of a stretch of ``bucket_rows`` row numbers,
+    beginning with null; ``merge(a, b)`` joins the results of neighbouring stretches, in
+    order.  Stretch after stretch, no task holds more than ``bucket_rows`` values of a
+    key at once, however many it has.
+    """
+    columns = [c for c in df.columns if c not in keys and c != ROW] if columns is None else list(columns)
+    types = {f.name: f.dataType for f in df.schema.fields}
+    rows = df.agg(F.max(ROW)).first()[0] or 0
+    out, fold, first = df.select(*[quoted(k) for k in keys], *[quoted(c) for c in columns], ROW), step, True
+    while first or rows > 0:
+        item = F.struct(quoted(ROW).alias("r"), *[quoted(c).alias(f"v{i}") for i, c in enumerate(columns)])
+        place = F.floor(F.col(ROW) / bucket_rows).alias("__bucket")
+        grouped = out.groupBy(*[quoted(k) for k in keys], place).agg(F.array_sort(F.collect_list(item)).alias("__items"))
+        folded = []
+        for i, c in enumerate(columns):
+            if first:
+                folded.append(F.aggregate(_part(i), F.lit(None).cast(types[c]), fold).alias(c))
+            else:
+                rest = F.slice(_part(i), 2, F.greatest(F.size("__items") - 1, F.lit(1)))
+                folded.append(F.aggregate(F.when(F.size("__items") > 1, rest).otherwise(F.array().cast(T.ArrayType(types[c]))), F.get(_part(i), F.lit(0)), fold).alias(c))
+        out = grouped.select(*[quoted(k) for k in keys], *folded, F.col("__bucket").alias(ROW))
+        rows, fold, first = rows // bucket_rows, merge, False
+    return out.drop(ROW)
+
+
 def reduce_nested(df: DataFrame, reducer: Callable[[Column, Column], Column]) -> DataFrame:
     """Fold every array column without a seed; other columns stay, an empty array gives null."""
     out = []

@@ -7,18 +7,22 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skeinworks.session import only, quoted
+from skeinworks.session import fits_broadcast, only, quoted
+
+#: Days up to which a calendar is broadcast: more than 2,700 years.
+CALENDAR_DAYS = 1_000_000
 
 
 def calendar_rows(df: DataFrame, entity: str, day: str, calendar: DataFrame | None, calendar_day: str = "date") -> DataFrame:
     """Rows with an entity (trimmed) and a day found in the calendar; ``__e`` and ``__d`` hold them.
 
-    A calendar is a table of days (a row per day), so its size is bounded by the
-    length of the calendar, not by the data, and it may be broadcast.
+    A calendar has a row per day, so it is broadcast as long as it has no more distinct
+    days than ``CALENDAR_DAYS``; a longer one is joined by shuffle.
     """
     rows = df.withColumns({"__e": F.trim(quoted(entity).cast("string")), "__d": quoted(day).cast("date")}).where("__e IS NOT NULL AND __d IS NOT NULL")
     if calendar is not None:
-        rows = rows.join(F.broadcast(calendar.select(quoted(calendar_day).cast("date").alias("__d")).distinct()), "__d", "left_semi")
+        days = calendar.select(quoted(calendar_day).cast("date").alias("__d")).distinct()
+        rows = rows.join(F.broadcast(days) if fits_broadcast(days, CALENDAR_DAYS) else days, "__d", "left_semi")
     return rows
 
 

@@ -75,6 +75,34 @@ def test_group_nested_keeps_nulls(spark):
     assert {(r["k"], r["v"]) for r in fold.collect()} == {("b", 6), (None, 7)}
 
 
+@pytest.mark.parametrize("bucket", [2, 3, 50])
+def test_group_fold(spark, bucket):
+    """Folded in stretches of any length, in row order; a key that holds most rows is never collected."""
+    made = [(i, "hot" if i % 5 else None, None if i % 7 == 0 else i) for i in range(60)]
+    df = spark.createDataFrame(made, f"{ROW} long, k string, v int").repartition(5)
+    joined = lambda a, b: F.coalesce(F.concat(a, F.lit(","), b), a, b)
+    got = {r["k"]: r["v"] for r in grouping.group_fold(df.select(ROW, "k", F.col("v").cast("string").alias("v")), ["k"], joined, joined, bucket_rows=bucket).collect()}
+    assert got == {k: ",".join(str(v) for _, x, v in made if x == k and v is not None) for k in ("hot", None)}
+    assert grouping.group_fold(df.limit(0), ["k"], joined, joined).count() == 0
+
+
+def test_stream_state_goes(spark, tmp_path):
+    """Late events find their place by time; a key not heard of for long is forgotten."""
+    source, day = tmp_path / "in", dt.timedelta(days=1)
+    start = dt.datetime(2021, 1, 1)
+    batches = [[("a", 1.0, start), ("a", 3.0, start + 2 * day)], [("a", 2.0, start + day), ("b", 9.0, start + 3 * day)], [("b", 8.0, start + 90 * day)], [("c", 1.0, start + 91 * day)], [("a", 7.0, start + 92 * day)]]
+    schema = "k string, v double, t timestamp"
+    q = state.last_values(spark.readStream.schema(schema).parquet(str(source / "*")), "t", "k", "v", 3, idle_seconds=10 * 86_400).writeStream.outputMode("update").format("memory").queryName("kept").option("checkpointLocation", str(tmp_path / "c")).start()
+    try:
+        for i, rows_ in enumerate(batches):
+            spark.createDataFrame(rows_, schema).coalesce(1).write.parquet(str(source / str(i)))
+            q.processAllAvailable()
+    finally:
+        q.stop()
+    seen = [(r["k"], r["last_values"]) for r in spark.table("kept").collect()]
+    assert ("a", [1.0, 2.0, 3.0]) in seen and ("a", [7.0]) in seen
+
+
 def test_reduce_nested(spark):
     df = spark.createDataFrame([([5, 1, 2], 7), ([], 8), (None, 9)], "a array<int>, b int")
     assert [tuple(r) for r in grouping.reduce_nested(df, lambda x, y: x - y).orderBy("b").collect()] == [(2, 7), (None, 8), (None, 9)]
@@ -321,7 +349,7 @@ def test_streams(spark, tmp_path):
     source = str(tmp_path / "in")
     spark.createDataFrame([("a", float(i), dt.datetime(2021, 1, 1 + i // 4)) for i in range(-1, 7) if i >= 0], "k string, v double, t timestamp").coalesce(1).write.parquet(source)
     stream = spark.readStream.schema("k string, v double, t timestamp").parquet(source)
-    q = state.last_values(stream, "k", "v", 3).writeStream.outputMode("update").format("memory").queryName("ring").option("checkpointLocation", str(tmp_path / "c1")).start()
+    q = state.last_values(stream, "t", "k", "v", 3).writeStream.outputMode("update").format("memory").queryName("ring").option("checkpointLocation", str(tmp_path / "c1")).start()
     q.processAllAvailable()
     q.stop()
     assert spark.table("ring").first() == ("a", [4.0, 5.0, 6.0])
