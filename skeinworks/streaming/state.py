@@ -18,7 +18,7 @@ def last_values(stream: DataFrame, at: str, key: str, value: str, n: int, *, lat
     The state of a key is ``n`` times and values, whatever the rate, and goes when the
     watermark (``late`` behind) is ``idle_seconds`` past its last event; a key that comes
     back begins anew.  Events of one instant stand in the order of their values; those
-    behind the watermark still count while the key is there.
+    at or behind the watermark come too late and are left out.
     """
     rows = stream.withWatermark(at, late).select(quoted(key).cast("string").alias("k"), quoted(at).alias("at"), F.unix_micros(quoted(at).cast("timestamp")).alias("t"), quoted(value).cast("double").alias("v"))
 

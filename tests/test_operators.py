@@ -81,7 +81,8 @@ def test_group_fold(spark, bucket):
     made = [(i, "hot" if i % 5 else None, None if i % 7 == 0 else i) for i in range(60)]
     df = spark.createDataFrame(made, f"{ROW} long, k string, v int").repartition(5)
     joined = lambda a, b: F.coalesce(F.concat(a, F.lit(","), b), a, b)
-    got = {r["k"]: r["v"] for r in grouping.group_fold(df.select(ROW, "k", F.col("v").cast("string").alias("v")), ["k"], joined, joined, bucket_rows=bucket).collect()}
+    df = df.withColumn("v", F.col("v").cast("string"))
+    got = {r["k"]: r["v"] for r in grouping.group_fold(df, ["k"], joined, joined, bucket_rows=bucket).collect()}
     assert got == {k: ",".join(str(v) for _, x, v in made if x == k and v is not None) for k in ("hot", None)}
     assert grouping.group_fold(df.limit(0), ["k"], joined, joined).count() == 0
 
@@ -92,7 +93,7 @@ def test_stream_state_goes(spark, tmp_path):
     start = dt.datetime(2021, 1, 1)
     batches = [[("a", 1.0, start), ("a", 3.0, start + 2 * day)], [("a", 2.0, start + day), ("b", 9.0, start + 3 * day)], [("b", 8.0, start + 90 * day)], [("c", 1.0, start + 91 * day)], [("a", 7.0, start + 92 * day)]]
     schema = "k string, v double, t timestamp"
-    q = state.last_values(spark.readStream.schema(schema).parquet(str(source / "*")), "t", "k", "v", 3, idle_seconds=10 * 86_400).writeStream.outputMode("update").format("memory").queryName("kept").option("checkpointLocation", str(tmp_path / "c")).start()
+    q = state.last_values(spark.readStream.schema(schema).parquet(str(source / "*")), "t", "k", "v", 3, late="2 days", idle_seconds=10 * 86_400).writeStream.outputMode("update").format("memory").queryName("kept").option("checkpointLocation", str(tmp_path / "c")).start()
     try:
         for i, rows_ in enumerate(batches):
             spark.createDataFrame(rows_, schema).coalesce(1).write.parquet(str(source / str(i)))
