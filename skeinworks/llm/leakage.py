@@ -129,15 +129,20 @@ def hardest(size: int) -> list[int]:
     return [n for n in (size, *range(10, after, 10)) if size <= n < after]
 
 
-def plan_for(size: int, recall: float) -> _Plan:
+def walks_for(size: int, recall: float) -> int:
     """As many walks as the target recall needs at the hardest leaks."""
     for walks in range(1, MOST_WALKS + 1):
         plan = _Plan(size, walks)
         if plan.tables == 1 or all(simulated_recall(plan, need) >= recall for need in hardest(size)):
-            return plan
+            return walks
     raise ValueError(f"no {MOST_WALKS} walks reach a recall of {recall}")
 
 
+def window_of(n: int) -> int:
+    """The window of an item of n words: the largest that half of it holds."""
+    return max(w for w in WINDOWS if w <= -(-n // 2))
+
+
 def _equal_runs(item: np.ndarray, doc: np.ndarray) -> list[tuple[int, int, int]]:
     """(item place, text place, length) of the longest stretches of equal words, by place."""
     i, j = np.nonzero(item[:, None] == doc[None, :])
@@ -243,17 +248,17 @@ class _Keys:
 
 
 class _Items:
-    """A block of items: their words, and the keys of their windows by size."""
+    """A block of items: their words, and the keys of their windows by size, with so many walks for each size."""
 
-    def __init__(self, texts: list[str], recall: float):
+    def __init__(self, texts: list[str], walks: dict[int, int]):
         self.labels = frozenset(w.casefold() for t in texts for w in re.findall(r"([^\W\d_]+)\s*:", t))
         self.flat, self.starts, _ = words.word_hashes(texts)
         self.sizes = np.diff(self.starts)
         by: dict[int, list[int]] = {}
         for i, n in enumerate(self.sizes.tolist()):
             if n:
-                by.setdefault(max(w for w in WINDOWS if w <= -(-n // 2)), []).append(i)
-        self.keys = [_Keys(self, of, plan_for(size, recall)) for size, of in sorted(by.items())]
+                by.setdefault(window_of(n), []).append(i)
+        self.keys = [_Keys(self, of, _Plan(size, walks[size])) for size, of in sorted(by.items())]
         seeded = [i for i, n in enumerate(self.sizes.tolist()) if -(-n // 2) >= 2 * SEED - 1]
         #: Windows of parts between which cues may stand: intact, as they are short.
         self.seeds = _Keys(self, seeded, _exact(SEED)) if seeded else None
@@ -449,11 +454,14 @@ def leaks(corpus: DataFrame, id_column: str, text: str, items: DataFrame, item_i
 def _pass(read: DataFrame, ids: list, texts: list[str], kind, recall: float) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_type
 
-    sent = read.sparkSession.sparkContext.broadcast((pa.array(ids, to_arrow_type(kind)), texts))  # at most ITEM_BLOCK items, ITEM_CHARACTERS and one item of text
+    sizes = {window_of(n) for n in np.diff(words.word_hashes(texts)[1]).tolist() if n} if texts else set()
+    walks = {size: walks_for(size, recall) for size in sizes}
+    # At most ITEM_BLOCK items, ITEM_CHARACTERS and one item of text.  A Python worker keeps what it is sent, so it makes the keys once.
+    sent = read.sparkSession.sparkContext.broadcast({"names": pa.array(ids, to_arrow_type(kind)), "texts": texts})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, wanted = sent.value
-        items = _Items(wanted, recall)
+        names, wanted = sent.value["names"], sent.value["texts"]
+        items = sent.value.get("items") or sent.value.setdefault("items", _Items(wanted, walks))
         token = re.compile(encoding.TOKEN)
         odd = re.compile(SUSPECT)
         for batch in batches:

@@ -25,6 +25,18 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(read_table(spark, d, "documents"), "doc_id", "text", read_table(spark, d, "eval_items"), "item_id", "item_text")
 
 
+def p7_planted(spark: SparkSession, d: str) -> DataFrame:
+    """Six tenths of every item planted among all documents, in capitals, an advert between their cues: who is found in what?"""
+    items = read_table(spark, d, "eval_items")
+    w = F.split(F.upper("item_text"), r"\s+")
+    n = F.ceil(F.size(w) * 0.6).cast("int")
+    cue = lambda i, text: F.concat(F.lit(f"{i}\n00:00:0{i},000 --> 00:00:0{i},900\n"), text, F.lit("\n\n"))
+    line = lambda a, b: F.array_join(F.slice(w, a, b), " ")
+    text = F.concat(cue(1, F.lit("Something else comes before")), cue(2, line(F.lit(1), F.lit(8))), cue(3, F.lit("Get this and more at our place")), cue(4, line(F.lit(9), n - 8)), cue(5, F.lit("and after it")))
+    documents = read_table(spark, d, "documents").select("doc_id", "text").unionByName(items.select((-F.col("item_id")).alias("doc_id"), text.alias("text")))
+    return leakage.leaks(documents, "doc_id", "text", items, "item_id", "item_text").where("doc_id < 0")
+
+
 def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
     counted = stage(mixture.token_counts(read_table(spark, d, "documents"), "doc_id", "text", "source"))
     return mixture.mix(counted, read_table(spark, d, "mix_targets"))
@@ -76,12 +88,13 @@ def p9_planted(spark: SparkSession, d: str) -> DataFrame:
     return done.where("doc_id < 0").select("doc_id", "restored_text", "complete")
 
 
-QUERIES = {f.__name__: f for f in (p9_planted, p1_percentiles, p1_summary, p7_found, p8_mixture, p8_shares, p8_held, p9_found, p9_restored)}
+QUERIES = {f.__name__: f for f in (p1_percentiles, p1_summary, p7_found, p7_planted, p8_mixture, p8_shares, p8_held, p9_found, p9_restored, p9_planted)}
 
 _VALUES = """v AS (SELECT trim(channel, ' ') AS channel, CAST(load_id AS BIGINT) AS load_id, 'deliver_qty' AS measure, deliver_qty + 0 AS x FROM caven20 WHERE NOT isnan(deliver_qty) AND channel IS NOT NULL
     UNION ALL SELECT trim(channel, ' '), CAST(load_id AS BIGINT), 'return_qty', return_qty + 0 FROM caven20 WHERE NOT isnan(return_qty) AND channel IS NOT NULL),
     r AS (SELECT channel, load_id, false AS all_parts, measure, x FROM v UNION ALL SELECT channel, NULL, true, measure, x FROM v)"""
 ORACLE: dict[str, str] = {
+    "p7_planted": "SELECT -item_id AS doc_id, item_id FROM eval_items",
     "p8_held": "SELECT source, true AS share_met, true AS cap_kept FROM mix_targets",
     "p9_planted": "SELECT * FROM (VALUES " + ", ".join(f"(CAST({-1 - i} AS BIGINT), '{line}', true)" for i, (line, _) in enumerate(PLANTED)) + ") t(doc_id, restored_text, complete)",
     "p1_percentiles": f"""WITH {_VALUES}, l AS (SELECT channel, load_id, all_parts, measure, count(*) AS n, list_sort(list(x)) AS xs FROM r GROUP BY ALL)
