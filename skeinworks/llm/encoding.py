@@ -21,7 +21,10 @@ import unicodedata
 from collections.abc import Iterator
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -142,10 +145,43 @@ def _text_key(t) -> list:
     return [F.xxhash64(t).alias("h"), F.hash(t).alias("h2")]
 
 
+#: Bytes of UTF-8 that a token is made of: ASCII letters and digits, and all beyond ASCII.
+_IN_TOKEN = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
+
+
+def tokens_of(texts: pa.Array) -> pa.ListArray:
+    """What ``TOKEN`` finds in each text, from the bytes of all texts at once."""
+    wide = pa.large_string()
+    lines = pc.binary_join_element_wise(pc.fill_null(texts.cast(wide), ""), pa.scalar("", wide), pa.scalar("\n", wide))  # a line end parts the texts
+    starts = np.frombuffer(lines.buffers()[1], np.int64)[lines.offset : lines.offset + len(lines) + 1] if len(lines) else np.zeros(1, np.int64)
+    raw = np.frombuffer(lines.buffers()[2], np.uint8)[starts[0] : starts[-1]] if len(lines) else np.zeros(0, np.uint8)
+    starts = starts - starts[0]
+    inside = np.concatenate([[False], _IN_TOKEN[raw], [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    begin, end = edges[::2], edges[1::2]
+    beyond = np.concatenate([[0], np.cumsum(raw >= 128)])
+    found = beyond[end] > beyond[begin]
+    begin, end = begin[found], end[found]
+    keep = np.zeros(len(raw) + 1, np.int8)
+    keep[begin] += 1
+    keep[end] -= 1
+    letters = raw[np.cumsum(keep[:-1], dtype=np.int8).astype(bool)]
+    offsets = np.concatenate([[0], np.cumsum(end - begin)]).astype(np.int32)
+    words = pa.StringArray.from_buffers(len(begin), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(letters)))
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(begin, starts).astype(np.int32)), words)
+
+
 def text_tokens(df: DataFrame, text: str) -> DataFrame:
     """(``h``, ``h2``, ``tokens``, ``n_rows``): the distinct tokens with a character beyond ASCII of each distinct text, and its rows."""
     t = quoted(text).cast("string")
-    return df.select(*_text_key(t), F.array_distinct(F.regexp_extract_all(t, F.lit(TOKEN), F.lit(0))).alias("tokens")).where("size(tokens) > 0").groupBy("h", "h2").agg(F.first("tokens").alias("tokens"), F.count(F.lit(1)).alias("n_rows"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), tokens_of(b.column(2))], names=["h", "h2", "tokens"])
+
+    read = df.select(*_text_key(t), t.alias("t")).where("t IS NOT NULL")
+    found = read.mapInArrow(run, "h bigint, h2 int, tokens array<string>").where("size(tokens) > 0").withColumn("tokens", F.array_distinct("tokens"))
+    return found.groupBy("h", "h2").agg(F.first("tokens").alias("tokens"), F.count(F.lit(1)).alias("n_rows"))
 
 
 def token_counts(texts: DataFrame) -> DataFrame:

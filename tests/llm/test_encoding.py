@@ -1,4 +1,9 @@
+import re
+
+import pyarrow as pa
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 
 from skeinworks.llm import encoding
 
@@ -72,6 +77,12 @@ def test_edges(spark):
     assert {r["token"] for r in encoding.affected(df, "token", "text").collect()} == {1000, 1001}
 
 
+@given(st.lists(st.none() | st.text("aZ09 é-ß\n\x85\x80ж𝒳…'", max_size=12), max_size=8))
+def test_tokens(texts):
+    got = encoding.tokens_of(pa.array(texts, pa.string())).to_pylist()
+    assert got == [re.findall(encoding.TOKEN, t or "") for t in texts]
+
+
 MANY = "Почему портной Алексей вчера купил Ивану четыре окна"
 
 
