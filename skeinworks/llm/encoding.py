@@ -199,7 +199,7 @@ def split_tokens(tokens: DataFrame) -> DataFrame:
 
     Words of three letters or more come with the signs beside or inside them too
     (quotes, apostrophes, dots), as a garbled sign is found by its word; so do signs with
-    letters or digits that are no word.
+    letters or digits that are no word, and characters that stand alone.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -207,6 +207,8 @@ def split_tokens(tokens: DataFrame) -> DataFrame:
             rows = []
             for token, n in zip(b["token"], b["n_docs"]):
                 pieces = clean_pieces(token)
+                if len(token) == 1 and not impossible(token):
+                    rows.append((None, n, None, None, token))
                 if pieces or sign_of(token):
                     whole = {_core(token), token} if not pieces or sum(map(len, pieces)) >= LETTERS else set()
                     rows += [(None, n, None, None, w) for w in whole.union(pieces or ()) if len(w) > 1 and not w.isascii()]
@@ -224,7 +226,7 @@ def form_table(words: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for at in range(0, len(b), 500):
-                rows = [(form, w, chain, n, plain_word(w)) for w, n in zip(b["word"][at : at + 500], b["n"][at : at + 500]) for form, chain in garbled_forms(w).items() if form.casefold() != w.casefold()]
+                rows = [(form, w, chain, n, plain_word(w)) for w, n in zip(b["word"][at : at + 500], b["n"][at : at + 500]) for form, chain in (garbled_forms(w).items() if len(w) > 1 else utf8_forms(w)) if form.casefold() != w.casefold()]
                 yield pd.DataFrame(rows, columns=["form", "original", "chain", "n", "bare"])
 
     tasks = max(words.sparkSession.sparkContext.defaultParallelism, int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")))
