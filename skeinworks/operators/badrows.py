@@ -1,11 +1,11 @@
 """Raw records to typed rows, with the records that do not parse set apart by reason.
 
-A block of records is parsed in bulk on a columnar path (Arrow's CSV reader, string
+A block of records is parsed in bulk on a vectorized path (Arrow's CSV reader, string
 kernels and casts).  A block that fails is halved, again and again, down to the
 single records at fault; only these go to a strict record parser, which says what is
 wrong with them.  Whether a part of a block fails is known from prefix sums over masks
 that are computed once for the block, so halving costs nothing per record.  The
-columnar path never accepts what the strict parser would refuse: where it can't be
+Arrow path never accepts what the strict parser would refuse: where it can't be
 sure, the record goes to the strict parser, which may still find it valid.
 """
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from skeinworks.session import free_name, only, quoted, spread
 
 NUMBER = r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
-#: Numbers the columnar path reads: of a size no cast can object to.
+#: Numbers the Arrow path reads: of a size no cast can object to.
 _PLAIN_NUMBER = r"^(?:[+-]?(?:[0-9]{1,30}\.?[0-9]{0,60}|\.[0-9]{1,60})(?:[eE][+-]?[0-9]{1,2})?)?$"
 _number, _date = re.compile(NUMBER), re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}")
 _EPOCH, _CYCLE = datetime.date(1970, 1, 1).toordinal(), 146_097
