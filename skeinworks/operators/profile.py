@@ -276,14 +276,14 @@ def _scan(df: DataFrame, part: str, kinds: _Kinds, distinct: bool) -> DataFrame:
 
 
 def _counted(df: DataFrame, part: str, numbers: Sequence[str], dates: Sequence[str], texts: dict[str, str] | None, distinct: bool) -> DataFrame:
-    """Partial counts and sketches (schema ``_COUNTS``), written once."""
+    """Partial counts and sketches (schema ``_COUNTS``)."""
     kinds = _Kinds(tuple(numbers), tuple(dates), dict(texts or {}))
     df = only(df, part, *kinds.all)
     files = df.inputFiles() if is_plain_scan(df) else []
     if not files or not {part, *kinds.all} <= columns_of(files[0]):
-        return stage(_scan(df, part, kinds, distinct))
+        return _scan(df, part, kinds, distinct)
     plan = stage(chunk_plan(df, part, kinds, distinct))
-    return stage(_read_groups(plan, part, kinds, distinct).unionByName(plan.where("file IS NULL").select(_NAMES)))
+    return _read_groups(plan, part, kinds, distinct).unionByName(plan.where("file IS NULL").select(_NAMES))
 
 
 def _summed(counted: DataFrame) -> DataFrame:
@@ -325,7 +325,7 @@ def column_profile(df: DataFrame, part: str, numbers: Sequence[str] = (), dates:
     positive or negative ones; an empty table gives an empty result; columns not named
     are not read.
     """
-    counted = _counted(df, part, numbers, dates, texts, True)
+    counted = stage(_counted(df, part, numbers, dates, texts, True))
     share = lambda k: (F.sum(F.when(F.col("class") == k, F.col("n")).otherwise(0)) / F.sum("n")).alias(f"{k}_share")
     rows = _summed(counted).groupBy("column", "part").agg(
         F.sum("n").alias("n_rows"), share("null"), share("nan"), share("negative"), share("zero"), F.min("lo").alias("lowest"), F.max("hi").alias("highest"),
