@@ -32,9 +32,9 @@ from skeinworks.session import only, quoted, stage
 #: Rows that are counted together before a split hands on its histogram.
 FLUSH_ROWS = 400_000
 #: Cells after which a merging task adds up what it has read so far.
-MERGE_CELLS = 4_000_000
+MERGE_CELLS = 2_000_000
 #: Bytes of input for which there is one block at least.
-BLOCK_BYTES = 64 << 20
+BLOCK_BYTES = 32 << 20
 #: Tasks beyond which further blocks only cost; a task then merges more as it reads.
 MOST_BLOCKS = 100_000
 #: Upper bound, as a power of two, of the bits of the filter for followed cells (8 MB).
