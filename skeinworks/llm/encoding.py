@@ -49,6 +49,8 @@ BROADCAST_ROWS, BROADCAST_CHARACTERS = 20_000, 4_000_000
 #: Possessive and begun only where a run begins, so linear in texts without blanks; read alike by Java and Python.
 _BEYOND = "\x80-\U0010ffff"
 TOKEN = f"(?<![A-Za-z0-9{_BEYOND}])[A-Za-z0-9]*+[{_BEYOND}][A-Za-z0-9{_BEYOND}]*+"
+#: Bits, as a power of two, of the filter for forms that some token has (8 MB).
+FILTER_BITS = 26
 #: Letters a word must have to vouch for a sign beside it.
 LETTERS = 3
 _script = re.compile(r"[A-Za-zªºÀ-ÖØ-öø-ɏ]+|[Ͱ-Ͽ]+|[Ѐ-ԯ]+")
@@ -220,13 +222,39 @@ def split_tokens(tokens: DataFrame) -> DataFrame:
     return tokens.mapInPandas(run, "token string, n_docs bigint, part string, looks_clean boolean, word string")
 
 
-def form_table(words: DataFrame) -> DataFrame:
-    """(``form``, ``original``, ``chain``, ``n``, ``bare``): garbled forms of the words; ``bare`` has no sign beside it."""
+def _places(texts) -> np.ndarray:
+    """The bits of a filter for some texts."""
+    return pd.util.hash_array(np.array(texts, dtype=object), categorize=False) >> np.uint64(64 - FILTER_BITS)
+
+
+def part_filter(parts: DataFrame) -> np.ndarray:
+    """A bit table of the parts, by which most forms that no token has are dropped where they are made."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                h = np.unique(_places(b["part"]))
+                yield pd.DataFrame({"word": (h >> np.uint64(6)).astype(np.int64), "bit": (h & np.uint64(63)).astype(np.int32)})
+
+    bits = F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")
+    words = parts.select("part").mapInPandas(run, "word bigint, bit int").groupBy("word").agg(bits).toPandas()  # at most 2 ** (FILTER_BITS - 6) rows
+    mask = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    mask[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    return mask
+
+
+def form_table(words: DataFrame, mask: np.ndarray) -> DataFrame:
+    """(``form``, ``original``, ``chain``, ``n``, ``bare``): garbled forms of the words, those the filter lets through; ``bare`` has no sign beside it."""
+    sent = words.sparkSession.sparkContext.broadcast(mask)  # 2 ** FILTER_BITS bits
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for at in range(0, len(b), 500):
                 rows = [(form, w, chain, n, plain_word(w)) for w, n in zip(b["word"][at : at + 500], b["n"][at : at + 500]) for form, chain in (garbled_forms(w).items() if len(w) > 1 else utf8_forms(w)) if form.casefold() != w.casefold()]
+                if rows:
+                    h = _places([r[0] for r in rows])
+                    met = sent.value[h >> np.uint64(6)] >> (h & np.uint64(63)) & np.uint64(1) == 1
+                    rows = [rows[i] for i in np.flatnonzero(met)]
                 yield pd.DataFrame(rows, columns=["form", "original", "chain", "n", "bare"])
 
     tasks = max(words.sparkSession.sparkContext.defaultParallelism, int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -309,7 +337,7 @@ def garbled_tokens(texts: DataFrame) -> DataFrame:
         forms = stage(
             parts.groupBy("part")
             .agg(F.sum("n_docs").alias("own"))
-            .join(form_table(words).withColumnRenamed("form", "part").hint("shuffle_hash"), "part")  # its size grows with the corpus: never broadcast
+            .join(form_table(words, part_filter(parts)).withColumnRenamed("form", "part").hint("shuffle_hash"), "part")  # its size grows with the corpus: never broadcast
         )
         characters, known = single.get()
     longest = max(map(len, characters))
