@@ -8,8 +8,10 @@ lines, then start/end offsets, column names, type names.  A single file with its
 from __future__ import annotations
 
 import uuid
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -158,43 +160,94 @@ def read_records(spark: SparkSession, path: str, columns: Sequence[str] | None =
     microseconds, or with ``exact_instants`` structs of seconds and nanoseconds.  A last
     record that is cut off is left out.  Files are read in stretches of whole records.
     """
-    uri = located(spark, path)
-    fs, base = FileSystem.from_uri(uri)
     layout = layout or read_layout(spark, path)
+    names = _names(layout)
+    wanted = list(names) if columns is None else list(columns)
+    return _scan(spark, [(path, layout, [names.index(w) for w in wanted])], exact_instants).toDF(*wanted, ROW)
+
+
+def _names(layout: Layout) -> list[str]:
     names: list[str] = []
     for n, *_ in layout.columns:
         k, name = 1, n
         while name.lower() in {x.lower() for x in names}:
             name, k = f"{n}_{k}", k + 1
         names.append(name)
-    wanted = list(names) if columns is None else list(columns)
-    at = [names.index(w) for w in wanted]
+    return names
+
+
+def _files(spark: SparkSession, path: str, layout: Layout) -> list[tuple[str, int]]:
+    """The record files of a table in order, with how many whole records each has."""
+    fs, base = FileSystem.from_uri(located(spark, path))
     is_folder = fs.get_file_info(base).type == FileType.Directory
     files = sorted(i.path for i in fs.get_file_info(FileSelector(base)) if i.base_name.endswith(".bin")) if is_folder else [base]
-    splits, row = [], 0
-    per = max(1, SPLIT_BYTES // layout.length)
-    for f in files:
-        n = fs.get_file_info(f).size // layout.length
-        splits += [(f, s, min(per, n - s), row + s) for s in range(0, n, per)]
-        row += n
-    kinds = []
-    for w, i in zip(wanted, at):
-        t = layout.columns[i][1]
-        kinds.append(f"`{w}` " + ("struct<sec:bigint,nano:int>" if t == "IoInstant" and exact_instants else CODECS[t].spark))
-    schema = ", ".join([*kinds, f"{ROW} bigint"])
-    listed = spark.createDataFrame(splits, "f string, s bigint, n bigint, r bigint").repartition(max(1, len(splits)), "f", "s")
+    return [(f, fs.get_file_info(f).size // layout.length) for f in files]
+
+
+def _pieces(files: list[tuple[str, int]], starts: list[int], first: int, end: int) -> list[tuple[str, int, int]]:
+    """Where the rows ``first`` up to ``end`` are: files, the first record in each and how many.  ``starts``: each file's first row."""
+    out = []
+    for i in range(bisect_right(starts, first) - 1, bisect_left(starts, end)):
+        a, b = max(first, starts[i]), min(end, starts[i + 1])
+        if a < b:
+            out.append((files[i][0], a - starts[i], b - a))
+    return out
+
+
+def _batches(fs: FileSystem, pieces: list[dict], length: int, size: int) -> Iterator[bytes]:
+    """The records of pieces of files, ``size`` at a time."""
+    held, have = [], 0
+    for piece in pieces:
+        with fs.open_input_file(piece["f"]) as h:
+            done = 0
+            while done < piece["n"]:
+                take = min(size - have, piece["n"] - done)
+                held.append(h.read_at(take * length, (piece["s"] + done) * length))
+                have, done = have + take, done + take
+                if have == size:
+                    yield b"".join(held)
+                    held, have = [], 0
+    if have:
+        yield b"".join(held)
+
+
+def _scan(spark: SparkSession, tables: Sequence[tuple[str, Layout, list[int]]], exact: bool = False) -> DataFrame:
+    """Columns c0, c1, ... of tables beside each other and ``__row``, as far as the shortest table goes.
+
+    A table is its path, layout and the wanted columns' places.  A task reads a stretch of
+    rows from all of them, which ends with a file of the widest.  The stretches are dealt
+    out as an RDD, of unknown size: behind a shuffle the adaptive planner would take the
+    few bytes of their list for the size of all that is read, and broadcast it in a join.
+    """
+    uri, layouts, at = located(spark, tables[0][0]), [t[1] for t in tables], [t[2] for t in tables]
+    files = [_files(spark, path, layout) for path, layout, _ in tables]
+    starts = [[0, *accumulate(n for _, n in f)] for f in files]
+    total, lengths = min(s[-1] for s in starts), [x.length for x in layouts]
+    per, widest = max(1, SPLIT_BYTES // sum(lengths)), starts[lengths.index(max(lengths))]
+    stretches = []
+    for a, b in zip(widest, widest[1:]):
+        for first in range(a, min(b, total), per):
+            end = min(first + per, b, total)
+            stretches.append((first, [_pieces(f, s, first, end) for f, s in zip(files, starts)]))
+    types = [layout.columns[i][1] for layout, own in zip(layouts, at) for i in own]
+    kinds = ["struct<sec:bigint,nano:int>" if t == "IoInstant" and exact else CODECS[t].spark for t in types]
+    schema = ", ".join([*(f"c{i} {k}" for i, k in enumerate(kinds)), f"{ROW} bigint"])
+    dealt = spark.sparkContext.parallelize(stretches, max(1, len(stretches)))
+    listed = spark.createDataFrame(dealt, "r bigint, pieces array<array<struct<f:string,s:bigint,n:bigint>>>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         there, _ = FileSystem.from_uri(uri)
         for b in batches:
-            for f, s, n, r in zip(*(c.to_pylist() for c in b.columns)):
-                with there.open_input_file(f) as h:
-                    for a in range(0, n, 50_000):
-                        size = min(50_000, n - a)
-                        raw = np.frombuffer(h.read_at(size * layout.length, (s + a) * layout.length), layout.dtype())
-                        out = [_from_records(raw[f"f{i}"], layout.columns[i][1], exact_instants) for i in at]
-                        out.append(pa.array(np.arange(r + a, r + a + size)))
-                        yield pa.RecordBatch.from_arrays(out, names=[*wanted, ROW])
+            for r, pieces in zip(*(c.to_pylist() for c in b.columns)):
+                for raws in zip(*(_batches(there, p, layout.length, 50_000) for p, layout in zip(pieces, layouts))):
+                    out = []
+                    for raw, layout, own in zip(raws, layouts, at):
+                        cells = np.frombuffer(raw, layout.dtype())
+                        out += [_from_records(cells[f"f{i}"], layout.columns[i][1], exact) for i in own]
+                    size = len(raws[0]) // layouts[0].length
+                    out.append(pa.array(np.arange(r, r + size)))
+                    r += size
+                    yield pa.RecordBatch.from_arrays(out, names=[*(f"c{i}" for i in range(len(types))), ROW])
 
     return listed.mapInArrow(run, schema)
 
@@ -221,9 +274,9 @@ def write_sharded(df: DataFrame, path: str, **options) -> None:
 
 
 def read_sharded(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
-    """The columns beside each other again, by row."""
-    out = None
-    for c in columns:
-        one = read_records(spark, f"{path}/{c}")
-        out = one if out is None else out.join(one, ROW)
-    return out
+    """The columns beside each other again, by row: rows of one place are read together, without a join."""
+    if len(columns) == 1:
+        return read_records(spark, f"{path}/{columns[0]}")
+    layouts = [read_layout(spark, f"{path}/{c}") for c in columns]
+    made = _scan(spark, [(f"{path}/{c}", layout, list(range(len(layout.columns)))) for c, layout in zip(columns, layouts)])
+    return made.select(ROW, *made.columns[:-1]).toDF(ROW, *(n for layout in layouts for n in _names(layout)))

@@ -291,6 +291,44 @@ def test_records_refuse(spark, tmp_path):
     assert math.isnan(r["f"]) and r["s"] == ""
 
 
+def test_records_are_not_broadcast(spark, tmp_path):
+    """Whatever is read from records counts by its rows, not by the few bytes that list the files."""
+    df = spark.range(40_000).select("id", F.concat(F.lit("text "), "id").alias("s"), F.col("id").alias(ROW))
+    records.write_sharded(df, str(tmp_path / "r"), text_width=16)
+    named = {"spark.sql.autoBroadcastJoinThreshold": "64k", "spark.sql.maxBroadcastTableSize": "128k"}
+    was = {k: spark.conf.get(k) for k in named}
+    try:
+        for k, v in named.items():
+            spark.conf.set(k, v)
+        ids, texts = (records.read_records(spark, str(tmp_path / "r" / c)) for c in ("id", "s"))
+        for back in (records.read_sharded(spark, str(tmp_path / "r"), ["id", "s"]), ids.join(texts, ROW)):
+            assert back.columns == [ROW, "id", "s"]
+            assert sorted(map(tuple, back.collect())) == [(i, i, f"text {i}") for i in range(40_000)]
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+
+
+def test_sharded_files_differ(spark, tmp_path, monkeypatch):
+    """Columns whose files end at different rows, or whose last record is cut off, as far as the shortest goes."""
+    for c, sizes, kind in (("a", (3, 0, 4, 5), "i"), ("b", (7, 6), "q"), ("s", (1, 11), "4s")):
+        layout, at = records.Layout(((c, {"i": "IoInt", "q": "IoLong", "4s": "IoString"}[kind], 0, struct.calcsize(f">{kind}")),)), 0
+        (tmp_path / c).mkdir()
+        (tmp_path / c / "table.meta").write_text(layout.text())
+        for k, n in enumerate(sizes):
+            (tmp_path / c / f"part-{k}.bin").write_bytes(b"".join(struct.pack(f">{kind}", f"t{i}".encode().ljust(4) if kind == "4s" else i) for i in range(at, at + n)) + b"cut"[: k % 2 * 3])
+            at += n
+    for split in (1, 50, 64 << 20):
+        monkeypatch.setattr(records, "SPLIT_BYTES", split)
+        back = records.read_sharded(spark, str(tmp_path), ["a", "b", "s"])
+        assert back.columns == [ROW, "a", "b", "s"]
+        assert by_row(back) == [(i, i, i, f"t{i}") for i in range(12)]
+        assert by_row(records.read_records(spark, str(tmp_path / "a"))) == [(i, i) for i in range(12)]
+    assert records.read_sharded(spark, str(tmp_path), ["a"]).columns == ["a", ROW]
+    records.write_sharded(spark.createDataFrame([], f"i int, l long, {ROW} long"), str(tmp_path / "none"))
+    assert records.read_sharded(spark, str(tmp_path / "none"), ["i", "l"]).collect() == []
+
+
 def test_duplicate_names(spark, tmp_path):
     layout = records.Layout((("a", "IoInt", 0, 4), ("a", "IoInt", 4, 8)))
     (tmp_path / "x.bin").write_bytes(struct.pack(">iiii", 1, 2, 3, 4) + b"cut")
